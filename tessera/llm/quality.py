@@ -29,7 +29,7 @@ from tessera.llm.shared import cut, read_table, without
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 REACH, MIN_GROUP, ACCURACY = 6.0, 100, 10_000
 #: Ratios that get a fence, with the least spread that a group is granted.
-RATIOS = {"symbol_ratio": 0.01, "dup_line_ratio": 0.02, "repeat_ratio": 0.02, "word_length": 0.5}
+RATIOS = {"symbol_ratio": 0.01, "dup_line_ratio": 0.1, "repeat_ratio": 0.05, "word_length": 0.5}
 #: Broadcast bound for the table of fences, in groups (about 100 bytes each).
 MAX_BROADCAST_GROUPS = 50_000
 _SYMBOLS = b"#*$%&|<>"
@@ -168,7 +168,7 @@ p AS (
   FROM q f JOIN q l ON f.level = 0 AND l.level = 1 AND f.lang IS NOT DISTINCT FROM l.lang JOIN q e ON e.level = 3)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(r1 > q1[2] + 6 * greatest(q1[2] - q1[1], 0.01), false) OR coalesce(r2 > q2[2] + 6 * greatest(q2[2] - q2[1], 0.02), false)
-    OR coalesce(r3 > q3[2] + 6 * greatest(q3[2] - q3[1], 0.02), false) OR coalesce(r4 > q4[2] + 6 * greatest(q4[2] - q4[1], 0.5), false)) AS kept
+  NOT base_failed AND NOT (coalesce(r1 > q1[2] + 6 * greatest(q1[2] - q1[1], 0.01), false) OR coalesce(r2 > q2[2] + 6 * greatest(q2[2] - q2[1], 0.1), false)
+    OR coalesce(r3 > q3[2] + 6 * greatest(q3[2] - q3[1], 0.05), false) OR coalesce(r4 > q4[2] + 6 * greatest(q4[2] - q4[1], 0.5), false)) AS kept
 FROM b LEFT JOIN p ON b.lang IS NOT DISTINCT FROM p.lang AND b.source IS NOT DISTINCT FROM p.source
 """

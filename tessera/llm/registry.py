@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, quality
+from tessera.llm import decontaminate, mixing, quality, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_mixing": mixing.op2_mixing,
     "op8_quality": quality.op8_quality,
+    "op9_urlfilter": urlfilter.op9_urlfilter,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op8_quality": quality.ORACLE,
+    "op9_urlfilter": urlfilter.ORACLE,
 }
