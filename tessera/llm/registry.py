@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, mixing, quality, urlfilter
+from tessera.llm import chat, decontaminate, mixing, quality, shards, tokencounts, tokenfiles, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_mixing": mixing.op2_mixing,
+    "op4_tokencounts": tokencounts.op4_tokencounts,
+    "op6_chat": chat.op6_chat,
+    "op7_sharding": shards.op7_sharding,
     "op8_quality": quality.op8_quality,
     "op9_urlfilter": urlfilter.op9_urlfilter,
+    "op10_tokenfiles": tokenfiles.op10_tokenfiles,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op6_chat": chat.ORACLE,
+    "op7_sharding": shards.ORACLE,
     "op8_quality": quality.ORACLE,
     "op9_urlfilter": urlfilter.ORACLE,
 }
