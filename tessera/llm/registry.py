@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, jaccard, mixing, quality, shards, tokencounts, tokenfiles, urlfilter
+from tessera.llm import chat, decontaminate, jaccard, lmscore, mixing, quality, shards, tokencounts, tokenfiles, urlfilter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_mixing": mixing.op2_mixing,
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_tokencounts": tokencounts.op4_tokencounts,
+    "op5_lmscore": lmscore.op5_lmscore,
     "op6_chat": chat.op6_chat,
     "op7_sharding": shards.op7_sharding,
     "op8_quality": quality.op8_quality,
