@@ -57,7 +57,8 @@ def source_targets(sizes: DataFrame, *, share: float = SHARE, weights: tuple = W
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     by = by.withColumn("level", (F.col("total") - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("weight").over(after))
     by = by.withColumn("is_full", F.col("weight") * F.col("level") >= F.col("full"))
-    level = F.min_by(F.when(~F.col("is_full"), F.col("level")), F.when(~F.col("is_full"), F.col("full") / F.col("weight"))).over(every)
+    by = by.withColumn("at", F.when(~F.col("is_full"), F.row_number().over(order)))
+    level = F.min_by("level", "at").over(every)  # the first source that isn't full
     return by.select("source", "source_size", F.when(F.col("is_full"), F.col("full")).otherwise(F.col("weight") * level).alias("target"))
 
 
