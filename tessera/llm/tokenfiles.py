@@ -27,7 +27,6 @@ import functools
 import json
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +35,29 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.chunks import ChunkTable, groups
 from tessera.llm.shared import cut, read_table, work_dir
 
 END_ID = 0
-_CACHE = 1_000_000
+#: Chunks kept by an encoder, about 30 bytes each.
+_CACHE = 5_000_000
 _SHARDS = "part int, name string, n_docs long, n_tokens long"
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if
+    it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
+
 class ChunkEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library.
 
-    ``cache`` maps a chunk (the text between two single spaces) to its ids'
-    bytes, or to None for chunks that touch other white space and so can't be
-    encoded apart from their neighbours.
+    Chunks between single spaces are looked up in a ``ChunkTable``; the library
+    encodes what is new. Texts with chunks that touch other white space, or with
+    several spaces in a row, are glued where needed and encoded by the library.
     """
 
     def __init__(self, path: str, cache: int = _CACHE):
@@ -61,48 +70,50 @@ class ChunkEncoder:
         pre = json.loads(self.tokenizer.to_str())
         kind = pre.get("pre_tokenizer") or {}
         self.apart = kind.get("type") == "ByteLevel" and kind.get("use_regex", False) and not kind.get("add_prefix_space") and not pre.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in pre["added_tokens"])
-        self.limit, self.cache = cache, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.kind.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str], every: set[str]) -> None:
-        if len(self.cache) + len(chunks) > self.limit:
-            self.cache.clear()
-            chunks = every
-        safe = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
-        self.cache.update(dict.fromkeys(chunks))
-        self.cache.update(zip(safe, self._encode([" " + c for c in safe]), strict=True))
-
-    def encode(self, text: str) -> bytes:
+        self.plain = self.apart and not any(t["content"].rstrip(".,;:!?").isalpha() for t in pre["added_tokens"])
+        self.letters = _byte_letters()
+        self.table = ChunkTable(self._chunk, self.kind, cache, by_place=True)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> list[int]:
+        """The ids of one pre-token."""
+        mapped = "".join([self.letters[b] for b in word.encode()]) if not word.isascii() else self.letters[32] + word[1:] if word[0] == " " else word
+        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+
+    def _chunk(self, chunk: str, first: bool) -> list[int] | None:
+        """A chunk's ids, None if it can't be encoded apart from its neighbours."""
+        if chunk[0].isspace() or chunk[-1].isspace():
+            return None
+        core = chunk.rstrip(".,;:!?")
+        # Letters and then punctuation are one pre-token each.
+        if self.plain and core.isalpha() and max(core) < "\u0530":
+            ids = self._word(core if first else " " + core)
+            return ids + self._word(chunk[len(core) :]) if len(core) < len(chunk) else ids
+        return self._library([chunk if first else " " + chunk])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, looked up together."""
         if not self.apart:
-            return self._encode([text])[0]
+            return [np.array(i, self.kind) for i in self._library([t.decode() for t in texts])]
+        return [self._glued(t.decode()) if v is None else v for t, v in zip(texts, self.table.values(texts), strict=True)]
+
+    def _glued(self, text: str) -> np.ndarray:
+        """Chunks that touch other white space, or stand beside an empty one, are
+        encoded together with their neighbours."""
         chunks = text.split(" ")
-        if len(chunks) > self.limit // 4:  # else one long text could outgrow the cache
-            return self._encode([text])[0]
-        every = set(chunks)
-        new = every.difference(self.cache)
-        if new:
-            self._learn(new, every)
-        found = list(map(self.cache.__getitem__, chunks))
-        head = chunks[0]
-        if None in found or not head or head[-1].isspace():
-            return self._glued(chunks, found)
-        found[0] = self._encode([head])[0]
-        return b"".join(found)
-
-    def _glued(self, chunks: list[str], found: list[bytes | None]) -> bytes:
+        apart = [bool(c) and not c[0].isspace() and not c[-1].isspace() for c in chunks]
         out, begin, n = [], 0, len(chunks)
         for i in range(1, n + 1):
-            if i < n and (found[i] is None or found[i - 1] is None):
-                continue
-            if i - begin == 1 and begin:
-                out.append(found[begin] if found[begin] is not None else self._encode([" " + chunks[begin]])[0])
-            else:
-                out.append(self._encode([" " * bool(begin) + " ".join(chunks[begin:i])])[0])
-            begin = i
-        return b"".join(out)
+            if i == n or apart[i] and apart[i - 1]:
+                out.append(" " * bool(begin) + " ".join(chunks[begin:i]))
+                begin = i
+        parts = self._library(out)
+        return np.concatenate([np.array(p, self.kind) for p in parts])
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text.encode()])[0].tobytes()
 
 
 @functools.cache
@@ -119,17 +130,17 @@ def _writer(root: str, tokenizer_path: str, end_id: int):
         store, base = pafs.FileSystem.from_uri(root)
         encoder = encoder_for(tokenizer_path)
         end = np.array([end_id], encoder.kind).tobytes()
-        width, lengths, ids, valid, stream = encoder.kind.itemsize, [], [], [], None
+        lengths, ids, valid, stream = [], [], [], None
         for batch in batches:
             if stream is None:
                 name = f"shard-{part:06d}-{uuid.uuid4().hex}"
                 stream = store.open_output_stream(f"{base}/{name}.ids")
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                data = encoder.encode(text.as_py() or "") + end
-                stream.write(data)
-                lengths.append(len(data) // width)
-                ids.append(doc_id.as_py() or 0)
-                valid.append(doc_id.is_valid)
+            ids += batch.column(0).fill_null(0).to_pylist()
+            valid += batch.column(0).is_valid().to_pylist()
+            for texts in groups(batch.column(1)):
+                found = encoder.encode_all(texts)
+                lengths += [len(x) + 1 for x in found]
+                stream.write(b"".join(x.tobytes() + end for x in found))
         if stream is not None:
             stream.close()
             offsets = np.zeros(len(lengths) + 1, "<u8")
