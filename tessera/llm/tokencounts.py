@@ -19,8 +19,6 @@ from __future__ import annotations
 
 import functools
 import re
-from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.chunks import ChunkTable, groups
 from tessera.llm.shared import read_table
 
 LIMIT = 4096
-_CACHE, _PAIRS = 800_000, 1_000_000
+_CACHE, _PAIRS, _STEMS, _STEM = 3_000_000, 2_000_000, 200_000, 6
 _MARK = "▁"
 
 
@@ -44,17 +43,21 @@ class PrefixCounter:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
         self.rank = {model.id_to_piece(i): -model.get_score(i) for i in normal}
-        by_end: dict[str, set[int]] = defaultdict(set)
-        for piece in self.rank:
-            by_end[piece[-2:]].add(len(piece))
-        #: By the last two characters: lengths of pieces that end so, longest first.
-        self.sizes = {end: sorted(sizes, reverse=True) for end, sizes in by_end.items() if len(end) == 2}
         if any(_MARK in p.lstrip(_MARK) for p in self.rank) or not any(model.is_byte(i) for i in range(model.get_piece_size())):
             raise ValueError("the model must keep words apart and fall back to bytes")
         if model.encode(" ½", out_type=str) != [_MARK * 2, "½"] or model.encode("a", out_type=str) != [_MARK + "a"]:
             raise ValueError("the model must add a word start and normalise nothing else")
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Pieces by their characters from the last to the first; under "piece" a
+        #: whole one, under "after" the tokens that may stand before it or not.
+        self.ends: dict = {}
+        for piece in self.rank:
+            node = self.ends
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node["piece"] = piece
+        self.n_pairs = 0
+        self.stems: dict[str, tuple[list[str], list[int]]] = {}
+        self.chunks = ChunkTable(self._chunk, np.int16, _CACHE, by_place=False)
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best-ranked pair first, leftmost of equals."""
@@ -67,57 +70,74 @@ class PrefixCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _fits(self, left: str, token: str) -> bool:
-        key = (left, token)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= _PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + token) == ([left, token] if left else [token])
+    def _fits(self, left: str, node: dict) -> bool:
+        """Whether the token of ``node`` may follow ``left`` ("" at the start)."""
+        token, after = node["piece"], node.setdefault("after", {})
+        if self.n_pairs >= _PAIRS:
+            after.clear()
+        known = after[left] = self.merge(left + token) == ([left, token] if left else [token])
+        self.n_pairs += 1
         return known
 
     def counts(self, symbols: str) -> list[int]:
         """Counts of the prefixes of 0 to n symbols of a run."""
-        rank, sizes, fits, n = self.rank, self.sizes, self._fits, len(symbols)
-        last, count = [""] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for size in sizes.get(symbols[i - 2 : i], ()) if i > 1 else ():
-                if size <= i:
-                    token = symbols[i - size : i]
-                    if token in rank and fits(last[i - size], token):
-                        last[i], count[i] = token, count[i - size] + 1
+        n, stem = len(symbols), symbols[:_STEM]
+        last, count = self.stems.get(stem, ([""], [0])) if n > _STEM else ([""], [0])
+        last, count = list(last), list(count)
+        ends, fits = self.ends, self._fits
+        for i in range(len(last), n + 1):
+            node, k, token = ends, i - 1, None
+            while k >= 0:
+                node = node.get(symbols[k])
+                if node is None:
+                    break
+                if "piece" in node:
+                    left = last[k]
+                    fit = node["after"].get(left) if "after" in node else None
+                    if fit is None:
+                        fit = fits(left, node)
+                    if fit:
+                        token = node["piece"]
                         break
+                k -= 1
+            if token is None:  # not in the vocabulary: a token for each byte
+                token, k = symbols[i - 1], i - 1
+                last.append(token)
+                count.append(count[k] + len(token.encode()))
             else:
-                token = symbols[i - 1]
-                last[i], count[i] = token, count[i - 1] + (1 if token in rank else len(token.encode()))
+                last.append(token)
+                count.append(count[k] + 1)
+            if i == _STEM and n > _STEM:
+                if len(self.stems) >= _STEMS:
+                    self.stems.clear()
+                self.stems[stem] = (last[:], count[:])
         return count
 
-    def _steps(self, segment: str) -> bytes:
-        """A segment's counts as differences."""
-        count = self.counts(segment)
-        return array("i", [b - a for a, b in zip(count, count[1:])]).tobytes()
+    def _chunk(self, chunk: str, first: bool) -> list[int] | None:
+        """A chunk's counts as differences, its word start first."""
+        if _MARK in chunk:
+            return None
+        count = self.counts(_MARK + chunk)
+        return [b - a for a, b in zip(count, count[1:])]
+
+    def tables(self, texts: list[bytes]) -> list[np.ndarray]:
+        """``table`` of each text, looked up together."""
+        out = []
+        for text, steps in zip(texts, self.chunks.values(texts), strict=True):
+            out.append(self._joined([steps]) if steps is not None and len(steps) else self.table(text.decode()))
+        return out
 
-    def _step(self, word: str) -> bytes:
-        steps = self._steps(_MARK + word)
-        if len(word) <= 64:
-            if len(self.words) >= _CACHE:
-                self.words.clear()
-            self.words[word] = steps
-        return steps
+    def _joined(self, steps: list[np.ndarray]) -> np.ndarray:
+        out = np.cumsum(np.concatenate(steps), dtype=np.int32)
+        out[0] = 0  # the empty text has no word start either
+        return out
 
     def table(self, text: str) -> np.ndarray:
         """Counts of the prefixes of 0 to ``len(text)`` characters."""
         if not text:
             return np.zeros(1, np.int32)
-        text = text.replace(_MARK, " ")
-        if text[0] == " " or text[-1] == " " or "  " in text:
-            steps = [self._steps(s) if s.startswith(_MARK * 2) or len(s) == 1 else self.words.get(s[1:]) or self._step(s[1:]) for s in re.findall(f"{_MARK}+[^{_MARK}]*", _MARK + text.replace(" ", _MARK))]
-        else:
-            known = self.words.get
-            steps = [known(w) or self._step(w) for w in text.split(" ")]
-        out = np.cumsum(np.frombuffer(b"".join(steps), np.int32), dtype=np.int32)
-        out[0] = 0  # the empty text has no word start either
-        return out
+        marked = _MARK + text.replace(" ", _MARK)
+        return self._joined([np.diff(self.counts(s)) for s in re.findall(f"{_MARK}+[^{_MARK}]*", marked)])
 
 
 @functools.cache
@@ -131,7 +151,7 @@ def prefix_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, ids, sizes, tables, held = counter_for(model_path), [], [], [], 0
+        counter, ids, sizes, tables = counter_for(model_path), [], [], []
         schema = None
 
         def flush() -> pa.RecordBatch:
@@ -139,18 +159,13 @@ def prefix_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
 
         for batch in batches:
             schema = batch.schema
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                table = counter.table(text).astype(">i4").tobytes()
-                ids.append(key.as_py())
-                sizes.append(len(text.encode()))
-                tables.append(table)
-                held += len(table)
-                if held > 4 << 20:
-                    yield flush()
-                    ids, sizes, tables, held = [], [], [], 0
-        if ids:
-            yield flush()
+            keys = iter(batch.column(0))
+            for texts in groups(batch.column(1)):
+                ids += [next(keys).as_py() for _ in texts]
+                sizes += [len(t) for t in texts]
+                tables += [t.astype(">i4").tobytes() for t in counter.tables(texts)]
+                yield flush()
+                ids, sizes, tables = [], [], []
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, prefix_counts binary")
 
