@@ -91,7 +91,7 @@ def ray_inside(y: Column, x: Column, ring: Column) -> Column:
 
 def in_polygons(points: DataFrame, polygons: DataFrame, *, grid: float = 500.0) -> DataFrame:
     """Points strictly inside polygons' rings: bounding boxes first, then the ring."""
-    ys, xs = (F.transform("ring", lambda p, c=c: p[c]) for c in ("y", "x"))
+    ys, xs = F.transform("ring", lambda p: p["y"]), F.transform("ring", lambda p: p["x"])
     boxed = polygons.withColumns({"y_min": F.array_min(ys), "y_max": F.array_max(ys), "x_min": F.array_min(xs), "x_max": F.array_max(xs)})
     return in_boxes(points, boxed, grid=grid).where(ray_inside(F.col("y").cast("double"), F.col("x").cast("double"), F.col("ring"))).drop("y_min", "y_max", "x_min", "x_max")
 

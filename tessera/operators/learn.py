@@ -99,6 +99,22 @@ def choose_k(df: DataFrame, column: str, ks: range = range(5, 50), seed: int = 0
     return (k if low <= k <= high else low), rows
 
 
+def grouped(points: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> np.ndarray:
+    """k-means over a few points in memory; equal points share a group."""
+    distinct, back = np.unique(points, axis=0, return_inverse=True)
+    back = back.ravel()
+    if len(distinct) <= k:
+        return back
+    centres = distinct[np.random.default_rng(seed).choice(len(distinct), k, replace=False)]
+    for _ in range(rounds):
+        near = ((distinct[:, None] - centres) ** 2).sum(-1).argmin(1)
+        new = np.array([distinct[near == i].mean(0) if (near == i).any() else centres[i] for i in range(k)])
+        if np.allclose(new, centres):
+            break
+        centres = new
+    return near[back]
+
+
 def mixture(df: DataFrame, column: str, k: int = 60, seed: int = 0, merge_to: int | None = None) -> DataFrame:
     """Gaussian mixture on principal components (J7), its components merged by
     k-means over their means, ranked by size. The reference path's nonlinear
@@ -107,8 +123,8 @@ def mixture(df: DataFrame, column: str, k: int = 60, seed: int = 0, merge_to: in
     model = GaussianMixture(k=k, seed=seed, featuresCol="pca", predictionCol="gmm").fit(cut)
     out = model.transform(cut).drop("pca", "probability")
     if merge_to:
-        means = model.gaussiansDF.select(F.monotonically_increasing_id().alias("i"), F.col("mean").alias("features"))
-        means = df.sparkSession.createDataFrame([(n, r.features) for n, r in enumerate(means.orderBy("i").collect())], ["gmm", "features"])  # k rows
-        merged = KMeans(k=merge_to, seed=seed).fit(means).transform(means).select("gmm", F.col("prediction").alias("cluster"))
+        means = np.array([r["mean"].toArray() for r in model.gaussiansDF.select("mean").collect()])  # k rows
+        groups = enumerate(grouped(means, merge_to, seed).tolist())
+        merged = df.sparkSession.createDataFrame(list(groups), "gmm int, cluster int")
         out = out.join(F.broadcast(merged), "gmm")
     return out
