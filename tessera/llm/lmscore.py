@@ -36,7 +36,7 @@ from tessera.llm import textscan
 from tessera.llm.shared import cut, read_table, without
 
 FOLDS, HELD_OUT = 7, 2
-BUCKET_BITS = 10
+BUCKET_BITS = 12
 PROBES, BITS_PER_ENTRY, LEVEL_BASE = 4, 9, 2.0
 MU = 200.0
 SEGMENT_BYTES = 320 << 20
@@ -276,18 +276,27 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = HELD_OUT) -
 
 
 def score(docs: DataFrame, model: DataFrame, *, text_col: str = "text", mu: float = MU, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score."""
+    """``docs`` with n_tokens, n_known, train_tokens, base_score and score.
+
+    Every segment has a pass of its own, whose outcome is written before the
+    next one begins, so that a worker never holds two segments.
+    """
     context = docs.sparkSession.sparkContext
     totals = model.select((F.octet_length("hashes") / 8).cast("long").alias("v"), "counts").mapInArrow(_sum_counts, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     vocabulary, n_train = totals[0] or 0, totals[1] or 0
-    state = F.lit(None).cast(_STATE)
+    out, state, shared = docs, F.lit(None).cast(_STATE), None
     for segment in segments(model, segment_bytes):
-        state = _probe(context.broadcast(segment))(F.col(text_col), state)
+        if shared is not None:
+            out = cut(out.withColumn("__state", state), "lm-pass")
+            shared.unpersist()
+            state = F.col("__state")
+        shared = context.broadcast(segment)
+        state = _probe(shared)(F.col(text_col), state)
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    out = docs.withColumn("__lm", _finish(n_train, vocabulary, mu)(state))
+    out = out.withColumn("__lm", _finish(n_train, vocabulary, mu)(state))
     found = F.col("__lm")
     added = {c: F.lit(n_train).cast("long") if c == "train_tokens" else found[c] for c in names}
-    return without(out, *(c for c in names if c != text_col)).withColumns(added).drop("__lm")
+    return without(out, *(c for c in names if c != text_col)).withColumns(added).drop("__lm", "__state")
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
