@@ -142,11 +142,11 @@ def union_area(boxes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     edges = boxes.select(*by, F.explode(F.array("x_min", "x_max")).alias("x")).distinct()
     nxt = F.lead("x").over(Window.partitionBy(*by).orderBy("x"))
     slabs = edges.withColumn("x_to", nxt).where("x_to is not null")
-    on = [boxes[c] == slabs[c] for c in by]
-    cond = (F.col("x_min") <= F.col("x")) & (F.col("x_max") >= F.col("x_to"))
-    for c in on:
-        cond = cond & c
-    held = boxes.join(slabs, cond).select(*[boxes[c] for c in by], "x", "x_to", "y_min", "y_max")
+    slabs = slabs.select(*[F.col(c).alias(f"_{c}") for c in by], "x", "x_to")
+    spans = (F.col("x_min") <= F.col("x")) & (F.col("x_max") >= F.col("x_to"))
+    for c in by:
+        spans = spans & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    held = boxes.join(slabs, spans).select(*by, "x", "x_to", "y_min", "y_max")
     w = Window.partitionBy(*by, "x").orderBy("y_min", "y_max").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("y_max").over(w)
     gain = F.greatest(F.lit(0), F.col("y_max") - F.greatest(F.col("y_min"), F.coalesce(reach, F.col("y_min"))))

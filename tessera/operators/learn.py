@@ -41,12 +41,17 @@ def reduced(df: DataFrame, column: str, share: float = 0.90, out: str = "pca") -
     return cut.drop("_all", "scaled"), ratios
 
 
+def best_kmeans(df: DataFrame, k: int, features: str, seed: int = 0, inits: int = 3, rounds: int = 300, out: str = "prediction"):
+    """The cheapest of several k-means fits."""
+    fits = [KMeans(k=k, seed=seed + i, maxIter=rounds, featuresCol=features, predictionCol=out).fit(df) for i in range(inits)]
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
 def tiers(df: DataFrame, column: str, k: int = 7, seed: int = 0, share: float = 0.90, rank_by: str | None = None, key: str = "vec_id") -> DataFrame:
     """k-means tiers (J2); with ``rank_by`` tier 0 has the largest median of that
     column, so that numbers don't depend on the clustering's labels."""
     cut, _ = reduced(df, column, share)
-    model = KMeans(k=k, seed=seed, maxIter=300, featuresCol="pca", predictionCol="_c").fit(cut)
-    called = model.transform(cut).drop("pca")
+    called = best_kmeans(cut, k, "pca", seed, out="_c").transform(cut).drop("pca")
     if rank_by is None:
         return called.withColumnRenamed("_c", "tier")
     medians = called.groupBy("_c").agg(F.median(rank_by).alias("_m"))
@@ -89,7 +94,7 @@ def choose_k(df: DataFrame, column: str, ks: range = range(5, 50), seed: int = 0
     vectors = df.withColumn("features", array_to_vector(F.col(column).cast("array<double>"))).cache()
     rows = []
     for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=50).fit(vectors)
+        model = best_kmeans(vectors, k, "features", seed, rounds=50)
         rows.append((k, model.summary.trainingCost, ClusteringEvaluator().evaluate(model.transform(vectors))))
     vectors.unpersist()
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]
@@ -115,11 +120,12 @@ def grouped(points: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> np.
     return near[back]
 
 
-def mixture(df: DataFrame, column: str, k: int = 60, seed: int = 0, merge_to: int | None = None) -> DataFrame:
-    """Gaussian mixture on principal components (J7), its components merged by
-    k-means over their means, ranked by size. The reference path's nonlinear
-    embedding has no Spark form and is left out."""
+def mixture(df: DataFrame, column: str, k: int = 60, seed: int = 0, merge_to: int | None = None, dims: int = 3) -> DataFrame:
+    """Gaussian mixture on the first principal components (J7), its components
+    merged by k-means over their means. The components stand in for a non-linear
+    embedding of as many dimensions, which has no Spark form."""
     cut, _ = reduced(df, column)
+    cut = cut.withColumn("pca", array_to_vector(F.slice(vector_to_array("pca"), 1, dims)))
     model = GaussianMixture(k=k, seed=seed, featuresCol="pca", predictionCol="gmm").fit(cut)
     out = model.transform(cut).drop("pca", "probability")
     if merge_to:
