@@ -45,7 +45,7 @@ def _(v):
   AND EXISTS (SELECT 1 FROM shape t WHERE t.cell_id = s.cell_id AND t.y = s.y - 1 AND t.x = s.x) AND EXISTS (SELECT 1 FROM shape t WHERE t.cell_id = s.cell_id AND t.y = s.y + 1 AND t.x = s.x) AS inner_ FROM shape s),
   m AS (SELECT cell_id, avg(y) AS my, avg(x) AS mx FROM e WHERE NOT inner_ GROUP BY 1),
   a AS (SELECT e.cell_id, count(*) AS n, count(*) FILTER (NOT inner_) AS p, max(sqrt((y - my) ** 2 + (x - mx) ** 2)) FILTER (NOT inner_) AS far, min(sqrt((y - my) ** 2 + (x - mx) ** 2)) FILTER (NOT inner_) AS near FROM e JOIN m USING (cell_id) GROUP BY 1)
-  SELECT cell_id, round(n * 0.25, 6) AS area, round(p * 0.5, 6) AS perimeter, round(CASE WHEN n = 1 THEN 0.5 ELSE far END, 6) AS major, round(CASE WHEN n = 1 THEN 0.5 ELSE near END, 6) AS minor,
+  SELECT cell_id, round(n * 0.25::DOUBLE, 6) AS area, round(p * 0.5::DOUBLE, 6) AS perimeter, round(CASE WHEN n = 1 THEN 0.5 ELSE far END, 6) AS major, round(CASE WHEN n = 1 THEN 0.5 ELSE near END, 6) AS minor,
   round(CASE WHEN n = 1 THEN 1 ELSE least(1, 4 * pi() * n / (p * p)) END, 6) AS circularity FROM a""")
 def _(v):
     return rounded(aggregates.morphology(v["shape"], 0.5), "cell_id")

@@ -161,7 +161,7 @@ def _(v):
     return maps.select("cell_id", F.try_element_at("m", F.lit("0")).alias("m0"), F.try_element_at("m", F.lit("2")).alias("m2"), F.size("m").cast("long").alias("n"))
 
 
-@query("b19_shift_ring", "SELECT ann_id, x_max + 7.5 AS x2, y_min - 2.0 AS y2 FROM ann")
+@query("b19_shift_ring", "SELECT ann_id, x_max + 7.5::DOUBLE AS x2, y_min - 2.0::DOUBLE AS y2 FROM ann")
 def _(v):
     from tessera.operators.spatial import box_ring
 
