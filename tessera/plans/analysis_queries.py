@@ -390,7 +390,7 @@ def _(v):
     return rounded(image.deconvolved(rgb, [[2, 0, 0], [0, 4, 0], [0, 0, 1]]).drop("r", "g", "b"), "y", "x")
 
 
-@query("i9_registration")
+@query("i9_registration", "SELECT dy::INT AS dy, dx::INT AS dx, dy::INT AS found_dy, dx::INT AS found_dx FROM (VALUES (0, 0), (3, -2), (-5, 4)) t(dy, dx)")
 def _(v):
     still = _kernel_rows(v)
     pairs = [(dy, dx, *image.phase_shift(still, image.shifted(still, -dy, -dx))) for dy, dx in ((0, 0), (3, -2), (-5, 4))]
