@@ -14,7 +14,8 @@ html; relative targets are resolved against the page. Aliases are compared
 without the fragment. Edge cases: a null url, or one without ``://``, has empty
 host and path, fits no rule, has no alias and is allowed; null html has no
 links; repeated rows are judged each; an empty table gives an empty result.
-Result columns replace same-named input columns; others pass through.
+Result columns replace same-named input columns; others pass through. Names
+that begin with two underscores are the operators' own.
 """
 
 from __future__ import annotations
@@ -44,13 +45,13 @@ def path_of(url: Column) -> Column:
 
 
 def match_rules(urls: DataFrame, rules=RULES) -> DataFrame:
-    """``urls`` (with host, path) with rule and rule_verdict, null where none fits."""
+    """``urls`` (with host, path) with rule and its ``__verdict``, null where none fits."""
     if len(rules) > MAX_LITERAL_RULES:
         return _match_by_suffix(urls, rules)
     listed = F.array(*[F.struct(F.lit(len(h + p)).alias("n"), F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
     fits = F.filter(listed, lambda r: ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))) & F.startswith(F.col("path"), r["path"]))
     best = F.array_max(F.transform(fits, _rank))
-    return urls.withColumn("__r", best).withColumns({"rule": F.col("__r.rule"), "rule_verdict": F.when(F.col("__r.allow"), "allow").when(~F.col("__r.allow"), "block")}).drop("__r")
+    return urls.withColumn("__r", best).withColumns({"rule": F.col("__r.rule"), "__verdict": F.when(F.col("__r.allow"), "allow").when(~F.col("__r.allow"), "block")}).drop("__r")
 
 
 def _rank(r: Column) -> Column:
@@ -68,7 +69,7 @@ def _match_by_suffix(urls: DataFrame, rules) -> DataFrame:
     found = suffixes.join(table, "rule_host").groupBy("host").agg(F.collect_list(F.struct("n", "verdict", F.col("rule_host").alias("host"), "path")).alias("__rules"))
     joined = urls.join(found.withColumnRenamed("host", "__h"), F.col("host") == F.col("__h"), "left").drop("__h")
     fits = F.filter(F.coalesce("__rules", F.array().cast("array<struct<n:int,verdict:string,host:string,path:string>>")), lambda r: F.startswith(F.col("path"), r["path"]))
-    return joined.withColumn("__r", F.array_max(F.transform(fits, _rank))).withColumns({"rule": F.col("__r.rule"), "rule_verdict": F.when(F.col("__r.allow"), "allow").when(~F.col("__r.allow"), "block")}).drop("__r", "__rules")
+    return joined.withColumn("__r", F.array_max(F.transform(fits, _rank))).withColumns({"rule": F.col("__r.rule"), "__verdict": F.when(F.col("__r.allow"), "allow").when(~F.col("__r.allow"), "block")}).drop("__r", "__rules")
 
 
 def _resolve(base: Column, href: Column) -> Column:
@@ -96,7 +97,7 @@ def blocked_aliases(pages: DataFrame, rules=RULES) -> DataFrame:
     """Nodes (urls without fragment) of components that hold a blocked url."""
     labels = cut(components(alias_links(pages)), "aliases")
     judged = match_rules(labels.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
-    bad = judged.where("rule_verdict = 'block'").select("label").distinct()
+    bad = judged.where("__verdict = 'block'").select("label").distinct()
     return labels.join(bad, "label", "left_semi").select("node").distinct()
 
 
@@ -105,8 +106,8 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     blocked = cut(blocked_aliases(pages.select("url", "html"), rules), "blocked").select(F.col("node").alias("__alias"), F.lit(True).alias("__blocked"))
     judged = match_rules(without(pages, "host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules)
     joined = judged.withColumn("__node", _node(F.col("url"))).join(blocked, F.col("__node") == F.col("__alias"), "left")
-    verdict = F.coalesce("rule_verdict", F.when(F.col("__blocked"), F.lit("block")), F.lit("allow"))
-    return joined.withColumn("verdict", verdict).drop("__node", "__alias", "__blocked", "rule_verdict")
+    verdict = F.coalesce("__verdict", F.when(F.col("__blocked"), F.lit("block")), F.lit("allow"))
+    return joined.withColumn("verdict", verdict).drop("__node", "__alias", "__blocked", "__verdict")
 
 
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
