@@ -260,3 +260,18 @@ def one_per_group(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+#: Brute force over shared n-grams; meant for the small tables that check it.
+ORACLE = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+l AS (SELECT doc_id, w, least(len(w), 5) AS k FROM w WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM l)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b, c = x.n AND c = y.n AS same FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, least(d.doc_id, (SELECT min(b) FROM reach WHERE a = d.doc_id)) AS class_id, (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links,
+  1 + (SELECT count(*) FROM links WHERE a = d.doc_id AND same) AS n_copies FROM documents d
+"""

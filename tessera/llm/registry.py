@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op3_jaccard": jaccard.ORACLE,
     "op6_chat": chat.ORACLE,
     "op7_sharding": shards.ORACLE,
     "op8_quality": quality.ORACLE,
