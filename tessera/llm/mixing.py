@@ -132,7 +132,8 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
     rows = docs.withColumn("__k", F.struct(*key))
     nth = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(text_col))) if repeated else F.lit(1)
     rows = rows.withColumn("__n", nth)
-    joined = rows.join(taken, F.col("__k") == F.col("__u"))
+    # The plan has a row for each document, so it is never broadcast, at any size.
+    joined = rows.join(taken.hint("merge"), F.col("__k") == F.col("__u"))
     copies = F.col("__whole") + (F.col("__n") <= F.col("__extra")).cast("long")
     joined = joined.withColumn("__copies", copies).where("__copies > 0")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
