@@ -79,7 +79,10 @@ def _metrics(texts: pa.Array) -> pa.Array:
 
 
 def metrics(text_col: str) -> Column:
-    return F.arrow_udf(_metrics, f"struct<{','.join(f'{f}:bigint' for f in _FIELDS)}>")(F.col(text_col))
+    """A struct of the metrics. Declared non-deterministic only so that the optimiser
+    never evaluates it again for a filter or another column."""
+    udf = F.arrow_udf(_metrics, f"struct<{','.join(f'{f}:bigint' for f in _FIELDS)}>")
+    return udf.asNondeterministic()(F.col(text_col))
 
 
 def _ratios(m: str = "") -> dict:
