@@ -110,9 +110,13 @@ def fences(measured: DataFrame, *, reach: float = REACH, min_group: int = MIN_GR
         return levels.where(F.col("level") == level).select("lang", "source", F.when(F.col("n") >= min_group, F.struct(*RATIOS)).alias(tag))
 
     # Groups without a passing document have nothing to fence.
-    fine, language, every = of(0, "fine"), of(1, "language").drop("source").withColumnRenamed("lang", "l2"), levels.where("level = 3").select(F.struct(*RATIOS).alias("every"))
-    joined = fine.join(language, F.col("lang").eqNullSafe(F.col("l2")), "left").join(F.broadcast(every))  # one row
-    pick = F.coalesce("fine", "language", "every")
+    total = levels.where("level = 3").first()
+    if total is None:
+        return levels.select("lang", "source", *[F.lit(None).cast("double").alias(f"max_{k}") for k in RATIOS]).limit(0)
+    every = F.struct(*[F.array(*map(F.lit, total[k])).alias(k) for k in RATIOS])
+    fine, language = of(0, "fine"), of(1, "language").drop("source").withColumnRenamed("lang", "l2")
+    joined = fine.join(language, F.col("lang").eqNullSafe(F.col("l2")), "left")
+    pick = F.coalesce(F.col("fine"), F.col("language"), every)
     upper = [(pick[k][1] + reach * F.greatest(pick[k][1] - pick[k][0], F.lit(s))).alias(f"max_{k}") for k, s in RATIOS.items()]
     return joined.select("lang", "source", *upper)
 
