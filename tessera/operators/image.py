@@ -295,3 +295,69 @@ def tiling_grid(mask: DataFrame, *, tile: int, zoom: float, threshold: float, si
 def planes(px: DataFrame, channels: list[str]) -> DataFrame:
     """Channels of a pixel as one array, in order."""
     return px.select("y", "x", F.array(*channels).alias("planes"))
+
+
+def _plane(pdf, height: int, width: int, value: str = "v", y0: int = 0, x0: int = 0) -> np.ndarray:
+    """Pixel rows as an array, absent pixels 0."""
+    out = np.zeros((height, width))
+    out[pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0] = pdf[value].to_numpy()
+    return out
+
+
+def _tiled(px: DataFrame, tile: int) -> DataFrame:
+    return px.withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
+
+
+def tissue_masks(px: DataFrame, key: str, height: int, width: int, **options) -> DataFrame:
+    """A tissue mask per slide at thumbnail size, one task for a slide (I1): (key, ty, tx)."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = np.nonzero(tissue_mask(_plane(pdf, height, width), **options))
+        return pd.DataFrame({key: pdf[key].iloc[0], "ty": y, "tx": x})
+
+    return px.select(key, "y", "x", "v").groupBy(key).applyInPandas(run, f"{key} {dict(px.dtypes)[key]}, ty int, tx int")
+
+
+def per_tile(px: DataFrame, tile: int, kernel) -> DataFrame:
+    """A kernel from image to image on every tile (I3, I12): (ty, tx, y, x, v)."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
+        h, w = int(pdf["y"].max()) - ty * tile + 1, int(pdf["x"].max()) - tx * tile + 1
+        out = kernel(_plane(pdf, h, w, y0=ty * tile, x0=tx * tile))
+        y, x = np.mgrid[0:h, 0:w]
+        return pd.DataFrame({"ty": ty, "tx": tx, "y": y.ravel() + ty * tile, "x": x.ravel() + tx * tile, "v": out.ravel().astype(float)})
+
+    return _tiled(px.select("y", "x", "v"), tile).groupBy("ty", "tx").applyInPandas(run, "ty int, tx int, y int, x int, v double")
+
+
+def stain_matrices(px: DataFrame, tile: int) -> DataFrame:
+    """A stain matrix per tile of (y, x, r, g, b) rows (I7): (ty, tx, stain, r, g, b)."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = macenko(pdf[["r", "g", "b"]].to_numpy(float))
+        return pd.DataFrame({"ty": pdf["ty"].iloc[0], "tx": pdf["tx"].iloc[0], "stain": range(3), "r": rows[:, 0], "g": rows[:, 1], "b": rows[:, 2]})
+
+    return _tiled(px, tile).groupBy("ty", "tx").applyInPandas(run, "ty int, tx int, stain int, r double, g double, b double")
+
+
+def registrations(px: DataFrame, key: str, height: int, width: int) -> DataFrame:
+    """Per pair the translation that moves side 1 onto side 0 (I9 to I11), from
+    rows (key, side, y, x, v) at thumbnail size: (key, dy, dx)."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fixed, moving = (_plane(pdf[pdf["side"] == s], height, width) for s in (0, 1))
+        dy, dx = phase_shift(fixed, moving)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "dy": [dy], "dx": [dx]})
+
+    return px.groupBy(key).applyInPandas(run, f"{key} {dict(px.dtypes)[key]}, dy int, dx int")
+
+
+def registered(px: DataFrame, shifts: DataFrame, key: str, height: int, width: int) -> DataFrame:
+    """Pixels moved by their pair's translation; what leaves the image is cut off."""
+    moved = px.join(shifts, key).withColumns({"y": F.col("y") + F.col("dy"), "x": F.col("x") + F.col("dx")}).drop("dy", "dx")
+    return moved.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates, image, joins, learn, scalar, spatial, windows
@@ -331,18 +330,10 @@ def _strokes(v):
     return v["nation"].select((c("n_nationkey") * 5).cast("int").alias("ty"), (c("n_nationkey") * 4).cast("int").alias("tx"))
 
 
-def _kernel_rows(v):
-    """The small image as one driver-bounded array (41 by 53), for kernels."""
-    out = np.zeros((41, 53))
-    for r in v["img"].collect():
-        out[r.y, r.x] = r.v
-    return out
-
-
 @query("i1_tissue_mask")
 def _(v):
-    mask = image.tissue_mask(_kernel_rows(v), sigma=1.0, least_size=3)
-    return v.spark.createDataFrame([(int(y), int(x)) for y, x in zip(*np.nonzero(mask), strict=True)], "ty int, tx int")
+    slides = v["img"].select(F.explode(F.sequence(F.lit(0), F.lit(1))).alias("slide"), "y", "x", "v")
+    return image.tissue_masks(slides.withColumn("v", c("v") - 20 * c("slide")), "slide", 41, 53, sigma=1.0, least_size=3)
 
 
 @query("i2_erosion", "SELECT ty, tx FROM mask m WHERE (SELECT count(*) FROM mask k WHERE k.ty BETWEEN m.ty - 1 AND m.ty + 1 AND k.tx BETWEEN m.tx - 1 AND m.tx + 1) = (least(ty + 1, 126) - greatest(ty - 1, 0) + 1) * (least(tx + 1, 130) - greatest(tx - 1, 0) + 1)")
@@ -362,8 +353,12 @@ def _(v):
 
 @query("i3_local_equalise")
 def _(v):
-    out = image.local_equalised(_kernel_rows(v))
-    return v.spark.createDataFrame([(y, float(row.mean())) for y, row in enumerate(out)], "y int, mean double")
+    return image.per_tile(v["img"], 20, image.local_equalised).groupBy("ty", "tx").agg(F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query("i3_clahe")
+def _(v):
+    return image.per_tile(v["img"], 40, image.clahe).groupBy("ty", "tx").agg(F.round(F.avg("v"), 6).alias("mean"))
 
 
 @query("i4_sharpen", """SELECT a.y, a.x, CAST(greatest(0, least(255, 5 * a.v - coalesce(b.v, a.v) - coalesce(c.v, a.v) - coalesce(d.v, a.v) - coalesce(e.v, a.v))) AS INT) AS v FROM img a LEFT JOIN img b ON b.y = a.y AND b.x = a.x - 1
@@ -379,9 +374,9 @@ def _(v):
 
 @query("i7_stain_matrix")
 def _(v):
-    grey = _kernel_rows(v)
-    m = image.macenko(np.stack([grey, grey * 0.7 % 200, (grey * 0.4 + 50) % 240], -1))
-    return v.spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(m)], "stain int, r double, g double, b double")
+    rgb = v["img"].select("y", "x", c("v").alias("r"), ((c("v") * 7) % 200).alias("g"), ((c("v") * 4 + 50) % 240).alias("b"))
+    found = image.stain_matrices(rgb, 20)
+    return found.select("ty", "tx", "stain", *[F.round(n, 6).alias(n) for n in "rgb"])
 
 
 @query("i8_colour_deconvolution", "SELECT y, x, round(-ln((v + 1) / 243.0) * 0.5, 6) AS hema, round(-ln((af + 1) / 243.0) * 0.25, 6) AS aec, round(-ln((v % 7 + 1) / 243.0), 6) AS residual FROM img")
@@ -390,17 +385,28 @@ def _(v):
     return rounded(image.deconvolved(rgb, [[2, 0, 0], [0, 4, 0], [0, 0, 1]]).drop("r", "g", "b"), "y", "x")
 
 
-@query("i9_registration", "SELECT dy::INT AS dy, dx::INT AS dx, dy::INT AS found_dy, dx::INT AS found_dx FROM (VALUES (0, 0), (3, -2), (-5, 4)) t(dy, dx)")
+_MOVES = [(0, 0, 0), (1, 3, -2), (2, -5, 4)]
+
+
+@query("i9_registration", "SELECT pair::INT AS pair, dy::INT AS dy, dx::INT AS dx FROM (VALUES (0, 0, 0), (1, 3, -2), (2, -5, 4)) t(pair, dy, dx)")
+def _(v):
+    moves = v.spark.createDataFrame(_MOVES, "pair int, sy int, sx int")
+    still = v["img"].select("y", "x", "v").join(F.broadcast(moves))  # three rows
+    moving = still.select("pair", F.lit(1).alias("side"), (c("y") - c("sy")).alias("y"), (c("x") - c("sx")).alias("x"), "v").where("y between 0 and 40 and x between 0 and 52")
+    return image.registrations(still.select("pair", F.lit(0).alias("side"), "y", "x", "v").union(moving), "pair", 41, 53)
+
+
+@query("i11_registered_channels", "SELECT pair::INT AS pair, y + dy::INT AS y, x + dx::INT AS x, v FROM img, (VALUES (0, 0, 0), (1, 3, -2), (2, -5, 4)) t(pair, dy, dx) WHERE y + dy BETWEEN 0 AND 40 AND x + dx BETWEEN 0 AND 52")
 def _(v):
-    still = _kernel_rows(v)
-    pairs = [(dy, dx, *image.phase_shift(still, image.shifted(still, -dy, -dx))) for dy, dx in ((0, 0), (3, -2), (-5, 4))]
-    return v.spark.createDataFrame(pairs, "dy int, dx int, found_dy int, found_dx int")
+    shifts = v.spark.createDataFrame(_MOVES, "pair int, dy int, dx int")
+    channels = v["img"].select(F.explode(F.array(*[F.lit(m[0]) for m in _MOVES])).alias("pair"), "y", "x", "v")
+    return image.registered(channels, shifts, "pair", 41, 53).select("pair", "y", "x", "v")
 
 
 @query("i12_inpaint")
 def _(v):
-    out = image.inpainted(_kernel_rows(v), 230)
-    return v.spark.createDataFrame([(y, float(row.max())) for y, row in enumerate(out)], "y int, top double")
+    filled = image.per_tile(v["img"], 20, lambda tile: image.inpainted(tile, 230))
+    return filled.groupBy("ty", "tx").agg(F.round(F.max("v"), 6).alias("top"))
 
 
 @query("i13_tile_extraction", "SELECT CAST(y // 20 AS INT) AS ty, CAST(x // 20 AS INT) AS tx, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM img GROUP BY 1, 2")

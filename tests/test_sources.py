@@ -76,3 +76,24 @@ def test_tiles_as_a_stream(spark, tmp_path):
     counts = tiles.tile_counts(rows, "m1_expression").writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     counts.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == df.count()
+
+
+def test_polygon_sinks(spark):
+    import json
+    import struct
+
+    from tessera.operators.spatial import box_ring
+    from tessera.sources import geometry
+
+    df = spark.createDataFrame([("A", 1, 2, 5, 6)], "name string, y0 int, x0 int, y1 int, x1 int")
+    ring = box_ring(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1"))
+    wkb = df.select(geometry.to_wkb(ring).alias("w")).first().w
+    assert struct.unpack_from("<BIII", wkb) == (1, 3, 1, 5) and struct.unpack_from("<dd", wkb, 13) == (2.0, 1.0)
+    feature = json.loads(geometry.features(df.withColumn("ring", ring), "ring", ["name"]).first().value)
+    assert feature["properties"] == {"name": "A"} and feature["geometry"]["coordinates"][0][2] == [6.0, 5.0]
+    square = [(0.0, 0.0), (0.0, 2.0), (3.0, 2.0), (0.0, 0.0)]
+    files = geometry.shapefile([square, square], ["A", "B"])
+    assert struct.unpack_from(">i", files["shp"], 24)[0] * 2 == len(files["shp"]) and struct.unpack_from("<4d", files["shp"], 36) == (0, 0, 3, 2)
+    at, words = struct.unpack_from(">2i", files["shx"], 108)
+    assert struct.unpack_from(">2i", files["shp"], at * 2) == (2, words) and len(files["shx"]) == 116
+    assert struct.unpack_from("<I", files["dbf"], 4)[0] == 2 and files["dbf"][65:].startswith(b" A")
