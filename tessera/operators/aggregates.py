@@ -21,29 +21,33 @@ def profile(px: DataFrame, by: list[str], value: str, scale: float = 255.0) -> D
     return out.select(*by, "min", "max", "sd", "mean", (F.col("_q")[10] - F.col("_q")[9]).alias("iqr"), *[F.col("_q")[i].alias(f"p{i + 1}") for i in range(9)])
 
 
-def count_peaks(values: np.ndarray, *, bandwidth: float = 5.0, least: float = 0.01, grid: int = 1024) -> int:
+def count_peaks(values: np.ndarray, counts: np.ndarray | None = None, *, bandwidth: float = 5.0, least: float = 0.01, grid: int = 1024) -> int:
     """Maxima above ``least`` of a Gaussian kernel density on an even grid that
     reaches three bandwidths past the values; at least 1 (D3, E11)."""
     values = np.asarray(values, float)
-    values = values[~np.isnan(values)]
-    if not len(values):
+    counts = np.ones(len(values)) if counts is None else np.asarray(counts, float)
+    known = ~np.isnan(values)
+    if not known.any():
         return 1
-    at, weight = np.unique(values, return_counts=True)
+    at, where = np.unique(values[known], return_inverse=True)
+    weight = np.bincount(where, counts[known])
     xs = np.linspace(at[0] - 3 * bandwidth, at[-1] + 3 * bandwidth, grid)
-    density = (np.exp(-0.5 * ((xs[:, None] - at) / bandwidth) ** 2) * weight).sum(axis=1) / (len(values) * bandwidth * np.sqrt(2 * np.pi))
+    density = (np.exp(-0.5 * ((xs[:, None] - at) / bandwidth) ** 2) * weight).sum(axis=1) / (weight.sum() * bandwidth * np.sqrt(2 * np.pi))
     turns = np.diff(np.sign(np.gradient(density))) < 0
     return max(1, int((density[:-1][turns] > least).sum()))
 
 
 def kde_peaks(px: DataFrame, by: list[str], value: str, **options) -> DataFrame:
-    """Number of density peaks per group (D3), over each group's histogram."""
+    """Number of density peaks per group (D3), from each group's histogram: a
+    group is one row with at most as many entries as there are intensities."""
     histogram = px.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    rows = histogram.groupBy(*by).agg(F.collect_list("v").alias("v"), F.collect_list("n").alias("n"))
 
     @F.pandas_udf("int")
-    def peaks(v: pd.Series, n: pd.Series) -> int:
-        return count_peaks(np.repeat(v.to_numpy(), n.to_numpy()), **options)
+    def peaks(values: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([count_peaks(v, n, **options) for v, n in zip(values, counts, strict=True)], dtype="int32")
 
-    return histogram.groupBy(*by).agg(peaks("v", "n").alias("num_peaks"))
+    return rows.select(*by, peaks("v", "n").alias("num_peaks"))
 
 
 def region_stats(px: DataFrame, value: str) -> DataFrame:

@@ -34,13 +34,16 @@ def hull(y: np.ndarray, x: np.ndarray) -> list[tuple[float, float]]:
 
 
 def hulls(pixels: DataFrame, key: str = "cell_id", buffer: float = 0.0) -> DataFrame:
-    """A hull per cell, shifted by the buffer (H1). A cell's pixels are few."""
+    """A hull per cell, shifted by the buffer (H1). A cell's pixels are few, so
+    they are one row, and a batch holds many cells."""
+    rows = pixels.groupBy(key).agg(F.collect_list("y").alias("y"), F.collect_list("x").alias("x"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = hull(pdf["y"].to_numpy(float) + buffer, pdf["x"].to_numpy(float) + buffer)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "ring": [[{"y": a, "x": b} for a, b in ring]]})
+    def run(batches):
+        for pdf in batches:
+            rings = [hull(np.asarray(y, float) + buffer, np.asarray(x, float) + buffer) for y, x in zip(pdf["y"], pdf["x"], strict=True)]
+            yield pd.DataFrame({key: pdf[key], "ring": [[{"y": a, "x": b} for a, b in ring] for ring in rings]})
 
-    return pixels.groupBy(key).applyInPandas(run, f"{key} long, ring {RING}")
+    return rows.mapInPandas(run, f"{key} {dict(pixels.dtypes)[key]}, ring {RING}")
 
 
 def rasterised(rings: DataFrame, key: str = "cell_id") -> DataFrame:
