@@ -3,8 +3,9 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond"): each step groups edges by one endpoint,
 takes the smallest neighbour with a map-side combine, and joins it back. Edges
-are written to the shared folder after each step; only a count and a checksum
-of them reach the driver.
+and smallest neighbours are written to the shared folder, so that the join has
+shuffles of its own on both sides and Spark can split a hub's edges over tasks.
+Only a count and a checksum of the edges reach the driver.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "k")
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least").withColumnRenamed("a", "k")
         large = both.join(least, both["a"] == least["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = cut(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least").withColumnRenamed("a", "k")
         small = large.join(least, large["a"] == least["k"])
         pairs = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
         edges = cut(pairs.where("a <> b").distinct(), "small-star")
