@@ -23,7 +23,7 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     this machine is chosen and recorded, so that later calls agree.
     """
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(root)

@@ -30,7 +30,8 @@ from tessera.llm.chunks import ChunkTable, groups
 from tessera.llm.shared import read_table
 
 LIMIT = 4096
-_CACHE, _PAIRS, _STEMS, _STEM = 3_000_000, 2_000_000, 200_000, 6
+#: Bounds of a worker's caches: chunks (about 40 bytes each), token pairs, word stems of ``_STEM`` characters.
+_CACHE, _PAIRS, _STEMS, _STEM = 1_500_000, 1_000_000, 100_000, 6
 _MARK = "▁"
 
 
@@ -55,7 +56,7 @@ class PrefixCounter:
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node["piece"] = piece
-        self.n_pairs = 0
+        self.n_pairs, self.afters = 0, []
         self.stems: dict[str, tuple[list[str], list[int]]] = {}
         self.chunks = ChunkTable(self._chunk, np.int16, _CACHE, by_place=False)
 
@@ -72,9 +73,14 @@ class PrefixCounter:
 
     def _fits(self, left: str, node: dict) -> bool:
         """Whether the token of ``node`` may follow ``left`` ("" at the start)."""
-        token, after = node["piece"], node.setdefault("after", {})
         if self.n_pairs >= _PAIRS:
-            after.clear()
+            for after in self.afters:
+                after.clear()
+            self.n_pairs = 0
+        token, after = node["piece"], node.get("after")
+        if after is None:
+            after = node["after"] = {}
+            self.afters.append(after)
         known = after[left] = self.merge(left + token) == ([left, token] if left else [token])
         self.n_pairs += 1
         return known

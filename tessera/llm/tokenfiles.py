@@ -40,7 +40,7 @@ from tessera.llm.shared import cut, read_table, work_dir
 
 END_ID = 0
 #: Chunks kept by an encoder, about 30 bytes each.
-_CACHE = 5_000_000
+_CACHE = 2_500_000
 _SHARDS = "part int, name string, n_docs long, n_tokens long"
 
 
