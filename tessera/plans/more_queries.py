@@ -134,7 +134,7 @@ def _(v):
 
 
 @query("m1_math_functions", """SELECT cell_id, round(sqrt(y), 6) AS a, pow(x, 2)::DOUBLE AS b, round(exp(-y / 1000.0), 6) AS d, round_even(y / 4.0::DOUBLE, 0) AS e, trunc((x - 2000) / 3.0)::BIGINT AS f, abs(x - y) AS g, sign(x - y)::INT AS h,
-  greatest(0, least(255, x - 1000))::DOUBLE AS i, round(y / 7.0::DOUBLE - floor(y / 7.0::DOUBLE), 6) AS j, round(sqrt(y * y + x * x), 6) AS k, round(least(1, 4 * pi() * y / (x * x + 1.0)), 6) AS l, round(y % 256 * 0.299 + x % 256 * 0.587 + 0.114 * 7, 6) AS m, ceil(y / 10.0)::BIGINT AS n, greatest(y - 100, 0) AS o FROM cells""")
+  greatest(0, least(255, x - 1000))::DOUBLE AS i, round(y / 7.0::DOUBLE - floor(y / 7.0::DOUBLE), 6) AS j, round(sqrt(y * y + x * x), 6) AS k, round(least(1, 4 * pi() * y / (x * x + 1.0)), 6) AS l, round((y % 256 * 0.299 + x % 256 * 0.587 + 0.114 * 7)::DOUBLE, 6) AS m, ceil(y / 10.0)::BIGINT AS n, greatest(y - 100, 0) AS o FROM cells""")
 def _(v):
     y, x = c("y"), c("x")
     return v["cells"].select(
