@@ -54,7 +54,8 @@ def _scan(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     longest = int((ends - starts).max())
     powers = _FORWARD if longest <= len(_FORWARD) else _powers(_MULTIPLIER, longest)
     np.minimum(at, len(powers) - 1, out=at)
-    terms = powers[at] * buf.astype(_U)
+    # One more than the byte, so that a NUL byte counts.
+    terms = powers[at] * (buf.astype(_U) + _U(1))
     terms[buf == 32] = 0
     return starts, ends, mix(np.add.reduceat(terms, starts))
 
