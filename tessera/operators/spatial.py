@@ -71,16 +71,17 @@ def expanded(ring: Column, d: float, most: float) -> Column:
     return F.transform(ring, move)
 
 
-def cytoplasm(grown: DataFrame, nuclei: DataFrame, height: int, width: int) -> DataFrame:
+def cytoplasm(grown: DataFrame, nuclei: DataFrame, height: int, width: int, reach: float = 40.0) -> DataFrame:
     """Cytoplasm pixels (H4): grown pixels inside the bounds, each to the nearest
     nucleus' cell and only if that is its own, less all nuclei. ``grown`` and
-    ``nuclei`` are (cell_id, y, x). Cells left without one fall back to their nucleus."""
+    ``nuclei`` are (cell_id, y, x). ``reach`` is more than nuclei were grown by.
+    Cells left without one fall back to their nucleus."""
     from tessera.operators.joins import nearest
 
     inner = grown.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)).distinct()
     points = inner.select(F.struct("cell_id", "y", "x").alias("pixel"), F.col("y").cast("double").alias("cy"), F.col("x").cast("double").alias("cx"))
     targets = nuclei.select(F.col("cell_id").alias("owner"), F.col("y").cast("double").alias("cy"), F.col("x").cast("double").alias("cx"))
-    own = nearest(points, targets, 40.0, point_id="pixel", target_id="owner").where("pixel.cell_id = owner").select("pixel.*")
+    own = nearest(points, targets, reach, point_id="pixel", target_id="owner").where("pixel.cell_id = owner").select("pixel.*")
     free = own.join(nuclei.select("y", "x").distinct(), ["y", "x"], "left_anti").select("cell_id", "y", "x")
     return free.unionByName(nuclei.join(free, "cell_id", "left_anti").select("cell_id", "y", "x"))
 

@@ -230,6 +230,16 @@ def _(v):
     return whole.join(inner).select((c("w") - c("i")).alias("difference"))
 
 
+@query("f7_difference_all")
+def _(v):
+    """Every annotation less the union of all annotations inside it."""
+    boxes = v["ann_nested"]
+    held = joins.containment(boxes).join(boxes, c("inner_id") == c("ann_id")).select("outer_id", "x_min", "x_max", "y_min", "y_max")
+    inner = aggregates.union_area(held, ("outer_id",)).withColumnRenamed("area", "inner_area")
+    whole = aggregates.union_area(boxes.select("ann_id", "x_min", "x_max", "y_min", "y_max"), ("ann_id",))
+    return whole.join(inner, c("ann_id") == c("outer_id"), "left").select("ann_id", (c("area") - F.coalesce("inner_area", F.lit(0.0))).alias("difference"))
+
+
 @query("h1_convex_hull")
 def _(v):
     rings = spatial.hulls(v["shape"])
@@ -264,6 +274,22 @@ def _(v):
     return spatial.cytoplasm(grown, nuclei, 50, 60).groupBy("cell_id").agg(F.count("*").alias("n"), F.sum(c("y") * 100 + c("x")).cast("long").alias("s"))
 
 
+#: Cells in a row of the drawn slide, and the pixels from one cell to the next: grown shapes (up to 7 by 6) overlap.
+_ACROSS, _DOWN, _RIGHT = 1000, 9, 8
+
+
+@query("h4_cytoplasm_all")
+def cytoplasm_all(v):
+    """The cytoplasm of every cell of ``shape``, laid out on a grid."""
+    row, col = F.floor(c("cell_id") / _ACROSS), c("cell_id") % _ACROSS
+    nuclei = v["shape"].select("cell_id", (row * _DOWN + c("y")).cast("int").alias("y"), (col * _RIGHT + c("x")).cast("int").alias("x"))
+    height = (nuclei.agg(F.max("y")).first()[0] or 0) + 3
+    step = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    grown = nuclei.withColumn("dy", step).withColumn("dx", step).select("cell_id", (c("y") + c("dy")).alias("y"), (c("x") + c("dx")).alias("x"))
+    cyto = spatial.cytoplasm(grown, nuclei, height, _ACROSS * _RIGHT, 3.0)
+    return cyto.groupBy("cell_id").agg(F.count("*").alias("n"), F.sum(c("y").cast("long") * 100 + c("x")).alias("s"))
+
+
 @query("h5_ring_area", "SELECT ann_id AS cell_id, (x_max - x_min) * (y_max - y_min) / 400.0 AS area FROM ann")
 def _(v):
     return _rings(v).select("cell_id", F.round(aggregates.ring_area(c("ring")), 6).alias("area"))
