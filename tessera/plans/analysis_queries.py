@@ -160,7 +160,7 @@ def _(v):
 
 @query("d24_choose_k")
 def _(v):
-    k, rows = learn.choose_k(v["feat"], "embedding", range(5, 9), low=5, high=8)
+    k, rows = learn.choose_k(v["feat"], "embedding")
     return v.spark.createDataFrame([(a, b, s, a == k) for a, b, s in rows], "k int, inertia double, silhouette double, chosen boolean")
 
 
@@ -498,7 +498,7 @@ def _(v):
 
 @query("j7_gaussian_mixture")
 def _(v):
-    return learn.mixture(v["feat"], "embedding", k=6, merge_to=3).groupBy("cluster").count()
+    return learn.mixture(v["feat"], "embedding", merge_to=3).groupBy("cluster").count()
 
 
 @query("j8_positive_calling", "SELECT cell_id, CASE WHEN tile_index % 2 = 0 THEN m1_tier IN (0, 2) ELSE m1_expression END AS m1_expression FROM cellinfo")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.plans import registry
+from tessera.plans import analysis_queries, registry  # noqa: F401  (the first fills the registry)
 from tests.conftest import SF
 
 
@@ -12,10 +12,7 @@ class Drawn(dict):
 
 
 def run(spark, name, monkeypatch, **tables):
-    from tessera.plans import analysis_queries
-
     monkeypatch.setattr(registry, "Views", lambda s, d: Drawn(tables))
-    assert analysis_queries
     return registry.QUERIES[name](spark, "").collect()
 
 
@@ -66,3 +63,28 @@ def test_no_id_is_lost(spark, name, view, key):
 
     ids = {r[0] for r in Views(spark, SF)[view].select(key).distinct().collect()}
     assert {r[key] for r in registry.QUERIES[name](spark, SF).select(key).collect()} == ids
+
+
+def test_learning_uses_the_whole_range(monkeypatch):
+    """choose_k and mixture are called with the operators' own ranges."""
+    import inspect
+
+    from tessera.operators import learn
+
+    class Stop(Exception):
+        pass
+
+    def seen(f):
+        def call(*args, **kwargs):
+            bound = inspect.signature(f).bind(*args, **kwargs)
+            bound.apply_defaults()
+            raise Stop(dict(bound.arguments))
+
+        return call
+
+    for name, query, want in (("choose_k", "d24_choose_k", {"ks": range(5, 50), "low": 15, "high": 30}), ("mixture", "j7_gaussian_mixture", {"k": 60})):
+        monkeypatch.setattr(learn, name, seen(getattr(learn, name)))
+        monkeypatch.setattr(registry, "Views", lambda s, d: Drawn(feat=None))
+        with pytest.raises(Stop) as stop:
+            registry.QUERIES[query](None, "")
+        assert {k: stop.value.args[0][k] for k in want} == want
