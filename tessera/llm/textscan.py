@@ -4,8 +4,10 @@ A word is a maximal run of bytes that a 256-entry table does not map to a
 space. Both word rules used here split on ASCII bytes only, so bytes of
 multi-byte characters are always parts of words and need no decoding.
 
-Word identity is a 64-bit polynomial hash; callers that need certainty compare
-the bytes of the (few) positions that a hash comparison selects.
+Word identity is a 64-bit multilinear hash: each place of a word has an odd
+pseudo-random weight of its own, so that no fixed pattern of bytes makes two
+words meet, as it does with powers of one base. Callers that need certainty
+compare the bytes of the (few) positions that a hash comparison selects.
 """
 
 from __future__ import annotations
@@ -19,20 +21,11 @@ SPACED = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 #: The same, with A-Z lower-cased.
 SPACED_LOWER = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
+_GOLDEN = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
 _U = np.uint64
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_FORWARD = _powers(_MULTIPLIER, 1 << 12)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -40,6 +33,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def _weights(n: int) -> np.ndarray:
+    """The weights of the first ``n`` places of a word."""
+    return mix(np.arange(1, n + 1, dtype=_U) * _U(_GOLDEN)) | _U(1)
+
+
+_FORWARD = _weights(1 << 12)
+
+
 def _scan(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of an already translated buffer."""
     inside = np.empty(len(buf) + 2, np.int8)
@@ -52,10 +53,10 @@ def _scan(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.arange(len(buf))
     at -= np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(buf)]))))
     longest = int((ends - starts).max())
-    powers = _FORWARD if longest <= len(_FORWARD) else _powers(_MULTIPLIER, longest)
-    np.minimum(at, len(powers) - 1, out=at)
+    weights = _FORWARD if longest <= len(_FORWARD) else _weights(longest)
+    np.minimum(at, len(weights) - 1, out=at)
     # One more than the byte, so that a NUL byte counts.
-    terms = powers[at] * (buf.astype(_U) + _U(1))
+    terms = weights[at] * (buf.astype(_U) + _U(1))
     terms[buf == 32] = 0
     return starts, ends, mix(np.add.reduceat(terms, starts))
 
