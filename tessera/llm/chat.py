@@ -1,21 +1,25 @@
 """Chat formatting by prefix-target expansion (operator 6).
 
-Every assistant turn becomes an example of its own: all turns before it are the
-context, and only its reply is trainable. Examples of one conversation share
-their prefixes, so the output holds each rendered turn once: an example is its
-conversation's rendering up to and including its target. That keeps the output
-linear in the input where whole copies would grow with the square of the turns;
-``materialise`` writes whole contexts where a trainer wants them.
+Every assistant turn is exploded into an example of its own: ``context`` is the
+rendering of all turns before it and of the reply's opening mark, ``target`` the
+reply, and only the target is trainable. The turns after a conversation's last
+reply (all of them, where there is none) make a row without a target, so that
+nothing of a conversation is lost.
+
+Whole contexts grow with the square of a conversation's turns, which is what the
+expansion asks for; a task holds one conversation's rendering at a time and
+streams its examples.
 
 Template: ``[INST]role[:]text`` for a turn of any role but assistant,
 ``[/INST]text</s>`` for a reply. Control strings in roles and texts are broken
 by a backslash after their first character and backslashes are doubled, which
 ``unescape`` undoes. The loss mask covers exactly the escaped reply text.
 
-Edge cases: null text or role is empty; a null conv_id is a conversation of its
-own; turns are ordered by turn (null first), then role and text, and repeated
-rows stay; a conversation without a reply yields no example but is rendered; an
-empty table gives an empty result. Other columns are not part of the format.
+Edge cases: null text or role is empty; rows with a null conv_id are one
+conversation; turns are ordered by turn (null first), then role and text, and
+repeated rows stay; a conversation without a reply yields no example, but its
+row without a target; an empty table gives an empty result. Other columns are
+not part of the format.
 """
 
 from __future__ import annotations
@@ -33,9 +37,9 @@ from tessera.llm.shared import read_table
 USER, ROLE_END, REPLY, END = "[INST]", "[:]", "[/INST]", "</s>"
 CONTROL = re.compile(r"\[INST\]|\[:\]|\[/INST\]|</s>|<s>")
 _ESCAPED = re.compile(r"\\(\\?)", re.S)
-_TURN = re.compile(r"\[INST\]((?:(?!\[:\]).)*)\[:\](.*)|\[/INST\](.*)</s>", re.S)
+_TURN = re.compile(r"\[INST\]((?:(?!\[:\]).)*)\[:\]((?:(?!\[INST\]|\[/INST\]).)*)|\[/INST\]((?:(?!</s>).)*)</s>", re.S)
 
-_FORMATTED = "conv_id {id}, seq long, example long, context string, target string, closing string, target_start long, target_end long"
+_EXAMPLE = "conv_id {id}, example long, context string, target string, closing string, target_start long, target_end long"
 
 
 def escape(text: str) -> str:
@@ -71,31 +75,6 @@ def _schema(first: pa.DataType, **fields: pa.DataType) -> pa.Schema:
     return pa.schema([("conv_id", first), *fields.items()])
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    batches = _peek(batches)
-    kind = next(batches)
-    if kind is None:
-        return
-    schema = _schema(kind, seq=pa.int64(), example=pa.int64(), context=pa.string(), target=pa.string(), closing=pa.string(), target_start=pa.int64(), target_end=pa.int64())
-
-    def rows() -> Iterator[dict]:
-        seq = example = at = 0
-        for new, row in _runs(batches):
-            if new:
-                seq = example = at = 0
-            role, text = row["role"] or "", escape(row["text"] or "")
-            out = {"conv_id": row["conv_id"], "seq": seq, "context": REPLY, "target": text, "closing": END, "example": example, "target_start": at + len(REPLY), "target_end": at + len(REPLY) + len(text)}
-            if role == "assistant":
-                example += 1
-            else:
-                out |= {"context": USER + escape(role) + ROLE_END + text, "target": None, "closing": "", "example": None, "target_start": None, "target_end": None}
-            at += len(out["context"]) + len(out["target"] or "") + len(out["closing"])
-            seq += 1
-            yield out
-
-    yield from _in_batches(rows(), schema)
-
-
 def _peek(batches: Iterator[pa.RecordBatch]):
     """The type of the conversations' ids, then the batches."""
     first = next(batches, None)
@@ -105,53 +84,65 @@ def _peek(batches: Iterator[pa.RecordBatch]):
         yield from batches
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
-    """One row per turn, in order within each partition: ``context`` (what the
-    turn adds before its target), and for replies ``target``, the example's
-    number, and the target's span in the conversation's rendering."""
-    rows = conversations.select("conv_id", "turn", "role", "text")
-    kind = rows.schema["conv_id"].dataType.simpleString()
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
-    return dealt.mapInArrow(_format, _FORMATTED.format(id=kind))
-
+def render(role: str | None, text: str | None) -> str:
+    """One turn; a reply is ``REPLY``, its escaped text and ``END``."""
+    role, text = role or "", escape(text or "")
+    return REPLY + text + END if role == "assistant" else USER + escape(role) + ROLE_END + text
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """One row per example: the rendering up to ``target_start`` is its context,
-    up to ``target_end`` its trainable reply."""
-    return formatted.where("target is not null").select("conv_id", "example", "seq", "target_start", "target_end", "target")
 
-
-def _materialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batches = _peek(batches)
     kind = next(batches)
     if kind is None:
         return
+    schema = _schema(kind, example=pa.int64(), context=pa.string(), target=pa.string(), closing=pa.string(), target_start=pa.int64(), target_end=pa.int64())
 
     def rows() -> Iterator[dict]:
-        parts: list[str] = []
+        conv, example, before, open_turns = None, 0, "", False
+
+        def rest() -> dict:
+            return {"conv_id": conv, "example": None, "context": before, "target": None, "closing": "", "target_start": None, "target_end": None}
+
         for new, row in _runs(batches):
-            parts = [] if new else parts
-            parts.append(row["context"])
-            if row["target"] is not None:
-                yield {"conv_id": row["conv_id"], "example": row["example"], "context": "".join(parts), "target": row["target"]}
-                parts += [row["target"], row["closing"]]
+            if new:
+                if open_turns:
+                    yield rest()
+                conv, example, before = row["conv_id"], 0, ""
+            turn = render(row["role"], row["text"])
+            open_turns = row["role"] != "assistant"
+            if not open_turns:
+                context, target = before + REPLY, turn[len(REPLY) : len(turn) - len(END)]
+                yield {"conv_id": conv, "example": example, "context": context, "target": target, "closing": END, "target_start": len(context), "target_end": len(context) + len(target)}
+                example += 1
+            before += turn
+        if open_turns:
+            yield rest()
 
-    yield from _in_batches(rows(), _schema(kind, example=pa.int64(), context=pa.string(), target=pa.string()))
+    yield from _in_batches(rows(), schema)
 
 
-def materialise(formatted: DataFrame) -> DataFrame:
-    """Every example with its whole context; grows with the square of the turns."""
-    kind = formatted.schema["conv_id"].dataType.simpleString()
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
-    return dealt.mapInArrow(_materialise, f"conv_id {kind}, example long, context string, target string")
+def examples(conversations: DataFrame) -> DataFrame:
+    """One row per assistant turn: conv_id, example (0, 1, ...), its whole context,
+    its target, what closes it, and the loss mask [target_start, target_end) in
+    characters of context + target + closing. One more row, without example and
+    target, for a conversation that does not end in a reply."""
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
+    return dealt.mapInArrow(_expand, _EXAMPLE.format(id=kind))
 
 
-def parse_turn(rendered: str) -> tuple[str, str]:
-    """Role and text of one rendered turn."""
-    found = _TURN.fullmatch(rendered)
-    if found[3] is not None:
-        return "assistant", unescape(found[3])
-    return unescape(found[1]), unescape(found[2])
+def parse_turns(rendered: str) -> list[tuple[str, str]]:
+    """Roles and texts of a rendering of whole turns."""
+    out, at = [], 0
+    for found in _TURN.finditer(rendered):
+        if found.start() != at:
+            break
+        at = found.end()
+        out.append(("assistant", unescape(found[3])) if found[3] is not None else (unescape(found[1]), unescape(found[2])))
+    if at != len(rendered):
+        raise ValueError(f"no turn begins at character {at}")
+    return out
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,17 +158,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if new:
                 if state:
                     yield _close(state)
-                state = {"conv_id": row["conv_id"], "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0}
-            rendered = row["context"] + (row["target"] or "") + row["closing"]
-            role, text = parse_turn(rendered)
-            state["turns"].update(f"{role}\n{text}\n".encode())
-            state["n"] += 1
+                state = {"conv_id": row["conv_id"], "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "whole": ""}
+            whole = row["context"] + (row["target"] or "") + row["closing"]
+            if not whole.startswith(state["whole"]):
+                raise ValueError(f"an example of conversation {row['conv_id']} does not begin with the one before it")
+            for role, text in parse_turns(whole[len(state["whole"]) :]):
+                state["turns"].update(f"{role}\n{text}\n".encode())
+                state["n"] += 1
             if row["target_start"] is not None:
-                a, b = row["target_start"] - state["formatted"], row["target_end"] - state["formatted"]
-                loss = unescape(rendered[a:b])
+                loss = unescape(whole[row["target_start"] : row["target_end"]])
                 state["loss"].update(loss.encode())
                 state["chars"] += len(loss)
-            state["formatted"] += len(rendered)
+            state["whole"] = whole
         if state:
             yield _close(state)
 
@@ -185,14 +177,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(state: dict) -> dict:
-    return {"conv_id": state["conv_id"], "n_turns": state["n"], "turns_sha256": state["turns"].hexdigest(), "loss_chars": state["chars"], "loss_sha256": state["loss"].hexdigest(), "formatted_chars": state["formatted"]}
+    return {"conv_id": state["conv_id"], "n_turns": state["n"], "turns_sha256": state["turns"].hexdigest(), "loss_chars": state["chars"], "loss_sha256": state["loss"].hexdigest(), "formatted_chars": len(state["whole"])}
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, read back from the rendering and the loss mask. Relies
-    on the row order that ``format_conversations`` leaves within partitions."""
-    kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.mapInArrow(_digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def digests(found: DataFrame) -> DataFrame:
+    """Per conversation, read back from ``examples``: every context has to begin
+    with the whole example before it, turns are parsed from what it adds, and the
+    loss is what the masks cover. Relies on the order that ``examples`` leaves
+    within partitions."""
+    kind = found.schema["conv_id"].dataType.simpleString()
+    return found.mapInArrow(_digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 HARD = "</s>[INST] ok [/INST]"
@@ -201,7 +195,7 @@ HARD = "</s>[INST] ok [/INST]"
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", HARD), (-1, 1, "assistant", HARD)], table.schema)
-    return digests(format_conversations(table.union(extra)))
+    return digests(examples(table.union(extra)))
 
 
 ORACLE = r"""

@@ -82,8 +82,7 @@ def test_escape_is_reversible():
     for _ in range(500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert chat.unescape(chat.escape(text)) == text and not chat.CONTROL.search(chat.escape(text))
-        assert chat.parse_turn(chat.USER + chat.escape(text) + chat.ROLE_END + chat.escape(text)) == (text, text)
-        assert chat.parse_turn(chat.REPLY + chat.escape(text) + chat.END) == ("assistant", text)
+        assert chat.parse_turns(chat.render(text, text) + chat.render("assistant", text)) == [(text, text), ("assistant", text)]
 
 
 TURNS = [
@@ -94,8 +93,8 @@ TURNS = [
 
 def test_chat_round_trip_and_examples(spark):
     table = spark.createDataFrame([(*t, 1) for t in TURNS], "conv_id long, turn long, role string, text string, seq int")
-    formatted = chat.format_conversations(table)
-    got = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    found = chat.examples(table)
+    got = {r.conv_id: r for r in chat.digests(found).collect()}
     by = {}
     for t in sorted(TURNS, key=lambda t: (t[0] or -1, t[1] if t[1] is not None else -1)):
         by.setdefault(t[0], []).append((t[2] or "", t[3] or ""))
@@ -105,13 +104,31 @@ def test_chat_round_trip_and_examples(spark):
         assert got[conv].n_turns == len(turns) and got[conv].loss_chars == len(loss)
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    whole = {(r.conv_id, r.example): (r.context, r.target) for r in chat.materialise(formatted).collect()}
-    assert len(whole) == sum(t[2] == "assistant" for t in TURNS) == chat.examples(formatted).count()
-    assert whole[(1, 0)] == ("[INST]system[:]be [\\INST] nice[INST]user[:]hi\\\\[/INST]", "yo <\\/s>")
-    assert whole[(1, 1)][0] == whole[(1, 0)][0] + whole[(1, 0)][1] + "</s>[INST]user[:][/INST]" and whole[(1, 2)][1] == "more"
-    for r in chat.examples(formatted).where("conv_id = 1").collect():
-        assert (r.target_start, r.target_end) == (len(whole[(1, r.example)][0]), len(whole[(1, r.example)][0]) + len(r.target))
-    assert chat.digests(chat.format_conversations(table.limit(0))).count() == 0
+        assert got[conv].formatted_chars == sum(len(chat.render(r, t)) for r, t in turns)
+    rows = found.collect()
+    whole = {(r.conv_id, r.example): (r.context, r.target) for r in rows if r.example is not None}
+    want = {}
+    for conv, turns in by.items():
+        replies = [i for i, t in enumerate(turns) if t[0] == "assistant"]
+        want |= {(conv, k): ("".join(chat.render(*t) for t in turns[:i]) + chat.REPLY, chat.escape(turns[i][1])) for k, i in enumerate(replies)}
+    assert whole == want and len(whole) == sum(t[2] == "assistant" for t in TURNS)
+    assert whole[(1, 1)][0] == "[INST]system[:]be [\\INST] nice[INST]user[:]hi\\\\[/INST]yo <\\/s></s>[INST]user[:][/INST]"
+    assert sorted(r.conv_id for r in rows if r.example is None) == [2, 3] and all(r.target is None for r in rows if r.example is None)
+    assert all((r.target_start, r.target_end) == (len(r.context), len(r.context) + len(r.target)) for r in rows if r.example is not None)
+    assert chat.digests(chat.examples(table.limit(0))).count() == 0
+
+
+def test_a_wrong_context_is_seen(spark):
+    found = chat.examples(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string"))
+    broken = found.withColumn("context", F.when(F.col("example") == 1, F.concat(F.lit("[INST]"), F.col("context"))).otherwise(F.col("context")))
+    with pytest.raises(Exception, match="does not begin with"):
+        chat.digests(broken).collect()
+
+
+def test_op6_expands_every_reply(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    found = chat.examples(turns)
+    assert found.where("target is not null").count() == turns.where("role = 'assistant'").count()
 
 
 def test_shards_merge_by_tiers_and_keep_all_rows(spark):
