@@ -44,6 +44,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in clash])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` has in no case."""
+    taken, out = {c.lower() for c in df.columns}, f"__{name}"
+    while any(c.startswith(out.lower()) for c in taken):
+        out = f"_{out}"
+    return out
+
+
 def unit(*cols: Column) -> Column:
     """A reproducible number in [0, 1) drawn from the given columns."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))

@@ -52,17 +52,17 @@ def brute_hits(text, items, n=10):
     for item_id, item in items:
         v = words(item)
         k = min(n, len(v))
-        if not k or item_id is None:
+        if not k:
             continue
         grams = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)}
         for i in range(len(w) - k + 1):
             if tuple(w[i : i + k]) in grams:
                 hit |= set(range(i, i + k))
                 found.add(item_id)
-    return len(w), len(hit), found
+    return len(w), len(hit), found - {None}
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 300])
+@pytest.mark.parametrize("block_bytes", [64 << 20, 2000])
 def test_contamination_matches_brute_force(spark, block_bytes):
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(12)]
@@ -91,8 +91,56 @@ def test_contamination_of_empty_tables(spark):
     table = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert decontaminate.find_contamination(table, none).first().contaminated is False
     assert decontaminate.find_contamination(table.limit(0), none).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.find_contamination(table, spark.createDataFrame([(1, "a" * 50)], "item_id long, text string"), block_bytes=10)
+
+
+def test_blocks_hold_any_benchmark(spark):
+    """Many copies of one item, ids of text, items beyond a block, and one window beyond a block."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    long, copied, wide = " ".join(rng.choice(vocab) for _ in range(300)), " ".join(rng.choice(vocab) for _ in range(20)), "y" * 9000 + " z"
+    items = [("long-1", long), ("wide", wide), ("mmlu-1", "the first ten words of an item that is quite long"), *[("copy", copied)] * 100, *[(f"c{i}", copied) for i in range(5)]]
+    words = long.split()
+    texts = [" ".join(words[k : k + 12]) for k in range(0, 280, 20)] + [" ".join(words[k : k + 9]) for k in (0, 100)] + [copied, wide.upper(), "x " + items[2][1], None]
+    table = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, __scan string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block_bytes in (64 << 20, 8000):
+        pieces = decontaminate._pieces(bench, "item_id", "text", decontaminate.N, block_bytes)
+        blocks = list(decontaminate._blocks(pieces, block_bytes))
+        assert sum(map(len, blocks)) == pieces.count() and (len(blocks) > 2) == (block_bytes == 8000)
+        for block in blocks:
+            cost = sum(len(t) - t.count(b" ") + decontaminate._PER_WORD * len(t.split()) + decontaminate._PER_PIECE for _, t in block)
+            assert cost <= block_bytes or len(block) == 1
+        got = decontaminate.find_contamination(table, bench, block_bytes=block_bytes).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            n, hit, found = brute_hits(texts[r.doc_id], items)
+            assert (r.n_words, r.n_hit, set(r["items"]), r["items"], r["__scan"]) == (n, hit, found, sorted(found), "mine")
+
+
+def test_window_set_stays_within_its_cost():
+    rng = random.Random(8)
+    pieces = [(i, " ".join(rng.choice(["alpha", "be", "gamma", "x"]) + str(rng.randrange(5000)) for _ in range(400)).encode()) for i in range(200)]
+    built = decontaminate.WindowSet(pieces, 10)
+    size = len(built.text) + sum(a.nbytes for arrays in built.by_length.values() for a in arrays)
+    cost = sum(len(t) - t.count(b" ") + decontaminate._PER_WORD * 400 + decontaminate._PER_PIECE for _, t in pieces)
+    assert size <= 1.3 * cost
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    windows = textscan.windows
+    monkeypatch.setattr(textscan, "windows", lambda h, n: windows(h, n) * 0)
+    built = decontaminate.WindowSet([(1, b"a b"), (2, b"c d"), (3, b"a b"), (3, b"e f g")], 2)
+    assert [built.ids[i] for i in built.probe(b"x A, b y")[2]] == [1, 3] and built.probe(b"c d")[1] == [(0, 2)]
+    assert built.probe(b"a d")[1] == [] and [built.ids[i] for i in built.probe(b"f g")[2]] == [3]
+
+
+def test_regular_words_do_not_meet():
+    """Thue-Morse words and their complements meet under any power-of-two polynomial hash."""
+    word = b"a"
+    while len(word) < 8192:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+        other = word.translate(bytes.maketrans(b"ab", b"ba"))
+        assert textscan.scan(word + b" " + other, textscan.SPACED)[3].tolist()[0] != textscan.scan(other, textscan.SPACED)[3].tolist()[0]
 
 
 def brute_metrics(text):
