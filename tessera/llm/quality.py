@@ -7,8 +7,13 @@ fixed cutoffs; the fences are joined back and documents beyond one are rejected.
 
 A fence is ``q75 + reach * max(q75 - q25, slack)``: groups whose documents vary
 get wide fences, uniform ones narrow fences, and no group loses a fixed share.
-Groups of fewer than ``min_group`` documents take their language's merged sketch,
-languages of fewer that of all documents.
+A group's quartiles are drawn towards those of its language, and a language's
+towards those of all documents, as if ``prior`` more documents had them: a group
+of n documents has n / (n + prior) of the say, at every n, without a jump.
+
+The slack is the least spread that a group is granted, so that a group in which
+a metric never varies does not lose documents over a trifle. Where quartiles
+agree (most texts have no symbols and no repeated lines) the slack decides.
 
 Words: maximal runs without space and 0x09 to 0x0D. Edge cases: a null or empty
 text has no words and fails the base rules; null language or source is a group
@@ -24,17 +29,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textscan
-from tessera.llm.shared import cut, read_table, without
+from tessera.llm.shared import cut, fresh, read_table, without
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-REACH, MIN_GROUP, ACCURACY = 6.0, 100, 10_000
+REACH, PRIOR, ACCURACY = 6.0, 100, 10_000
 #: Ratios that get a fence, with the least spread that a group is granted.
 RATIOS = {"symbol_ratio": 0.01, "dup_line_ratio": 0.1, "repeat_ratio": 0.05, "word_length": 0.5}
 #: Broadcast bound for the table of fences, in groups (about 100 bytes each).
 MAX_BROADCAST_GROUPS = 50_000
 _SYMBOLS = b"#*$%&|<>"
 _FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
-_M = "__metrics"
 
 
 def measure(raw: bytes) -> tuple[int, int, int, int, int, int]:
@@ -99,53 +103,60 @@ def base_failed(m: str = ""):
     return (F.col(f"{m}n_words") < MIN_WORDS) | (F.lit(100) * F.col(f"{m}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{m}n_words"))
 
 
-def fences(measured: DataFrame, *, reach: float = REACH, min_group: int = MIN_GROUP, accuracy: int = ACCURACY) -> DataFrame:
-    """One row per (lang, source) with its fences, from the finest level that has
-    ``min_group`` documents that pass the base rules."""
+def fences(measured: DataFrame, *, reach: float = REACH, prior: int = PRIOR, accuracy: int = ACCURACY) -> DataFrame:
+    """One row per (lang, source) with its fences, from the sketches of the
+    documents that pass the base rules."""
     passed = measured.where(~base_failed()).select("lang", "source", *[c.alias(k) for k, c in _ratios().items()])
     quartiles = [F.percentile_approx(k, F.lit([0.25, 0.75]), accuracy).alias(k) for k in RATIOS]
     levels = cut(passed.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *quartiles), "quality-levels")
-
-    def of(level: int, tag: str) -> DataFrame:
-        return levels.where(F.col("level") == level).select("lang", "source", F.when(F.col("n") >= min_group, F.struct(*RATIOS)).alias(tag))
-
     # Groups without a passing document have nothing to fence.
     total = levels.where("level = 3").first()
     if total is None:
         return levels.select("lang", "source", *[F.lit(None).cast("double").alias(f"max_{k}") for k in RATIOS]).limit(0)
-    every = F.struct(*[F.array(*map(F.lit, total[k])).alias(k) for k in RATIOS])
-    fine, language = of(0, "fine"), of(1, "language").drop("source").withColumnRenamed("lang", "l2")
-    joined = fine.join(language, F.col("lang").eqNullSafe(F.col("l2")), "left")
-    pick = F.coalesce(F.col("fine"), F.col("language"), every)
-    upper = [(pick[k][1] + reach * F.greatest(pick[k][1] - pick[k][0], F.lit(s))).alias(f"max_{k}") for k, s in RATIOS.items()]
+
+    def drawn(n: Column, own: Column, parent: Column) -> Column:
+        return (n * own + prior * parent) / (n + prior)
+
+    fine = levels.where("level = 0").drop("level")
+    language = levels.where("level = 1").select(F.col("lang").alias("l2"), F.col("n").alias("n2"), F.struct(*RATIOS).alias("q2"))
+    joined = fine.join(language, F.col("lang").eqNullSafe(F.col("l2")))
+    upper = []
+    for k, slack in RATIOS.items():
+        low, high = (drawn(F.col("n"), F.col(k)[i], drawn(F.col("n2"), F.col(f"q2.{k}")[i], F.lit(total[k][i]))) for i in (0, 1))
+        upper.append((high + reach * F.greatest(high - low, F.lit(slack))).alias(f"max_{k}"))
     return joined.select("lang", "source", *upper)
 
 
-def _verdict(measured: DataFrame, limits: DataFrame, m: str) -> DataFrame:
-    """``measured`` with ``__kept``: the base rules, then the joined fences."""
-    bounds = limits.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), *[F.col(f"max_{k}").alias(f"__max_{k}") for k in RATIOS])
+def _verdict(measured: DataFrame, limits: DataFrame, m: str, kept: str) -> DataFrame:
+    """``measured`` with ``kept``: the base rules, then the joined fences."""
+    own = fresh(measured, "fence")
+    bounds = limits.select(F.col("lang").alias(f"{own}_l"), F.col("source").alias(f"{own}_s"), *[F.col(f"max_{k}").alias(f"{own}_{k}") for k in RATIOS])
     if bounds.count() <= MAX_BROADCAST_GROUPS:
         bounds = F.broadcast(bounds)
-    joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
+    joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col(f"{own}_l")) & F.col("source").eqNullSafe(F.col(f"{own}_s")), "left")
     beyond = F.lit(False)
     for k, c in _ratios(m).items():
-        beyond = beyond | F.coalesce(c > F.col(f"__max_{k}"), F.lit(False))
-    return joined.withColumn("__kept", ~base_failed(m) & ~beyond).drop("__l", "__s", *[f"__max_{k}" for k in RATIOS])
+        beyond = beyond | F.coalesce(c > F.col(f"{own}_{k}"), F.lit(False))
+    return joined.withColumn(kept, ~base_failed(m) & ~beyond).drop(*bounds.columns)
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the text, with the metrics, base_failed and kept."""
-    measured = cut(without(docs, *_FIELDS, "base_failed", "kept").withColumn(_M, metrics(text_col)).drop(text_col).select("*", f"{_M}.*").drop(_M), "quality")
-    judged = _verdict(measured, cut(fences(measured, **options), "quality-fences"), "")
-    return judged.withColumn("base_failed", base_failed()).withColumnRenamed("__kept", "kept")
+    m = fresh(docs, "metrics")
+    rest = without(docs, *_FIELDS, "base_failed", "kept").withColumn(m, metrics(text_col)).drop(text_col)
+    measured = cut(rest.select(*[F.col(f"`{c}`") for c in rest.columns if c != m], f"{m}.*"), "quality")
+    judged = _verdict(measured, cut(fences(measured, **options), "quality-fences"), "", "kept")
+    return judged.withColumn("base_failed", base_failed())
 
 
 def keep(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The documents that pass, with their columns. Texts are measured twice
     rather than shuffled: once for the sketches, once beside the fences."""
-    measured = docs.select("lang", "source", metrics(text_col).alias(_M)).select("lang", "source", f"{_M}.*")
+    measured = docs.select("lang", "source", metrics(text_col).alias("m")).select("lang", "source", "m.*")
     limits = cut(fences(measured, **options), "quality-fences")
-    return _verdict(docs.withColumn(_M, metrics(text_col)), limits, f"{_M}.").where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    m = fresh(docs, "metrics")
+    kept = f"{m}_kept"
+    return _verdict(docs.withColumn(m, metrics(text_col)), limits, f"{m}.", kept).where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +164,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_ONE = "(f.n * f.q{k}[{i}] + 100 * ((l.n * l.q{k}[{i}] + 100 * e.q{k}[{i}]) / (l.n + 100))) / (f.n + 100)"
+_DRAWN = ", ".join(f"[{_ONE.format(k=k, i=1)}, {_ONE.format(k=k, i=2)}] AS q{k}" for k in range(1, 5))
 ORACLE = r"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 ln AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
@@ -170,12 +183,11 @@ q AS (
   SELECT lang, source, grouping(lang, source) AS level, count(*) AS n, quantile_disc(r1, [0.25, 0.75]) AS q1, quantile_disc(r2, [0.25, 0.75]) AS q2, quantile_disc(r3, [0.25, 0.75]) AS q3, quantile_disc(r4, [0.25, 0.75]) AS q4
   FROM b WHERE NOT base_failed GROUP BY ROLLUP (lang, source)),
 p AS (
-  SELECT f.lang, f.source, CASE WHEN f.n >= 100 THEN f.q1 WHEN l.n >= 100 THEN l.q1 ELSE e.q1 END AS q1, CASE WHEN f.n >= 100 THEN f.q2 WHEN l.n >= 100 THEN l.q2 ELSE e.q2 END AS q2,
-    CASE WHEN f.n >= 100 THEN f.q3 WHEN l.n >= 100 THEN l.q3 ELSE e.q3 END AS q3, CASE WHEN f.n >= 100 THEN f.q4 WHEN l.n >= 100 THEN l.q4 ELSE e.q4 END AS q4
+  SELECT f.lang, f.source, {drawn}
   FROM q f JOIN q l ON f.level = 0 AND l.level = 1 AND f.lang IS NOT DISTINCT FROM l.lang JOIN q e ON e.level = 3)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT (coalesce(r1 > q1[2] + 6 * greatest(q1[2] - q1[1], 0.01), false) OR coalesce(r2 > q2[2] + 6 * greatest(q2[2] - q2[1], 0.1), false)
     OR coalesce(r3 > q3[2] + 6 * greatest(q3[2] - q3[1], 0.05), false) OR coalesce(r4 > q4[2] + 6 * greatest(q4[2] - q4[1], 0.5), false)) AS kept
 FROM b LEFT JOIN p ON b.lang IS NOT DISTINCT FROM p.lang AND b.source IS NOT DISTINCT FROM p.source
-"""
+""".replace("{drawn}", _DRAWN)
