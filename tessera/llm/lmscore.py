@@ -1,19 +1,24 @@
 """LM scoring with a log-frequency Bloom filter (operator 5).
 
-Unigram and bigram counts of the training documents are gathered over the whole
-corpus and quantised to logarithmic levels; a Bloom filter holds each n-gram
-once for every level up to its own. The filter is broadcast; a count is read by
-probing level after level until one is missing, and interpolated bigram
-probabilities with Dirichlet smoothing follow from the counts so read.
+Bigram counts of the training documents are gathered over the whole corpus and
+quantised to logarithmic levels; a Bloom filter holds each bigram once for every
+level up to its own. The filter is broadcast, a count is read by probing level
+after level until one is missing, and interpolated bigram probabilities with
+Dirichlet smoothing over add-one unigrams follow from the counts so read.
 
-Counts meet by hash buckets of n-grams, so a frequent token is spread over the
-buckets of its n-grams, and each bucket's part of the filter is built by one
-task with bits in proportion to its entries. What is broadcast at once is
-bounded by ``segment_bytes``: a larger model is dealt into segments of buckets
-and the documents are probed against one after the other, carrying two bytes a
-token from pass to pass.
+Unigram counts are kept exactly, beside the filter: the base score asks for them.
+A level stands for its least count and a history for its exact one, and an n-gram
+is read as no more frequent than its parts, so the probabilities of all words
+after a history sum to 1 at most, but for the filter's false positives.
 
-Beside the model, exact unigram counts give an add-one base score.
+Counts meet by hash buckets of n-grams, so a frequent token is spread over the
+buckets of its n-grams. Tasks send sorted, packed lists for each bucket, a bucket
+at a time is merged and its part of the filter built with bits in proportion to
+its entries; the number of buckets follows the size of the corpus. What is
+broadcast at once is bounded by ``segment_bytes``: a larger model is dealt into
+segments of buckets with a pass each. A pass writes rows' keys and two packed
+columns of what its segment knows, never the texts, and is written before the
+next begins.
 
 Tokens: A-Z lower-cased runs without space and 0x09 to 0x0D, then one end token.
 Tokens and n-grams are identified by 64-bit hashes. Edge cases: a null or empty
@@ -25,6 +30,8 @@ same-named ones, others pass through.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +40,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textscan
-from tessera.llm.shared import cut, read_table, without
+from tessera.llm.shared import cut, fresh, read_table, without
 
 FOLDS, HELD_OUT = 7, 2
-BUCKET_BITS = 12
-PROBES, BITS_PER_ENTRY, LEVEL_BASE = 4, 9, 2.0
+#: A bucket is for about so many bytes of input; their number is a power of two within these bounds.
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 1 << 20, 4, 18
+PROBES, BITS_PER_ENTRY, LEVEL_BASE = 7, 12, 2.0
+#: Words' worth of the unigram distribution added to a history's followers; held-out documents score best near it.
 MU = 200.0
-SEGMENT_BYTES = 320 << 20
+SEGMENT_BYTES = 128 << 20
 _END, _START = np.uint64(0x51ED270B9F3F4E21), np.uint64(0x2545F4914F6CDD1D)
 _LEVEL, _STEP = 0xA0761D6478BD642F, np.uint64(0xE7037ED1A0B428DB)
 _FLUSH, _CHUNK = 2_000_000, 300_000
+_UNI, _PAIR = 0, 1
 _U = np.uint64
 
 
@@ -56,28 +66,59 @@ def bigrams(found: np.ndarray) -> np.ndarray:
     return textscan.mix(before * _U(0xD6E8FEB86659FD93) + found)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts (n, hash, count) of uni- and bigrams."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+def _planes(values: np.ndarray) -> tuple[int, bytes]:
+    """Unsigned numbers byte plane by byte plane, without the planes that are all zero."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return width, values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for n in (1, 2):
-            h, c = np.unique(np.concatenate([x[n - 1] for x in held]), return_counts=True)
-            for at in range(0, len(h), 200_000):
-                part = h[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), n, np.int8)), pa.array(part.view(np.int64)), pa.array(c[at : at + 200_000].astype(np.int64))], ["n", "hash", "count"])
 
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            found = tokens(text.as_py() or b"")
-            held.append((found, bigrams(found)))
-            size += len(found)
-            if size >= _FLUSH:
-                yield from flush()
-                held, size = [], 0
-    if held:
-        yield from flush()
+def pack(low: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted distinct numbers, as steps, with their counts."""
+    steps = low.copy()
+    steps[1:] -= low[:-1]
+    (a, first), (b, second) = _planes(steps), _planes(counts)
+    return struct.pack("<IBB", len(low), a, b) + first + second
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, a, b = struct.unpack_from("<IBB", blob)
+    out = []
+    for width, at in ((a, 6), (b, 6 + a * n)):
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = np.frombuffer(blob, np.uint8, width * n, at).reshape(width, n).T
+        out.append(full.reshape(-1).view("<u8"))
+    return np.cumsum(out[0], dtype=_U), out[1].astype(np.int64)
+
+
+def _count(bits: int):
+    """Texts to packed partial counts (bucket, kind, blob)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind in (_UNI, _PAIR):
+                h, c = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
+                bucket, low = (h >> _U(64 - bits)).astype(np.int32), h & _U((1 << 64 - bits) - 1)
+                edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist()
+                for at in range(0, len(edges) - 1, 500):
+                    runs = list(zip(edges[at : at + 500], edges[at + 1 : at + 501]))
+                    blobs = [pack(low[a:b], c[a:b]) for a, b in runs]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in runs]]), pa.array(np.full(len(runs), kind, np.int8)), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                found = tokens(text.as_py() or b"")
+                held.append((found, bigrams(found)))
+                size += len(found)
+                if size >= _FLUSH:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    return run
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -86,9 +127,8 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts, 0 for level 0."""
-    high = LEVEL_BASE**levels.astype(np.float64)
-    return np.where(levels > 0, (high / LEVEL_BASE + high - 1) / 2, 0.0)
+    """The least of a level's counts, 0 for level 0."""
+    return np.where(levels > 0, np.ceil(LEVEL_BASE ** (levels.astype(np.float64) - 1)), 0.0)
 
 
 def _positions(keys: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
@@ -100,43 +140,75 @@ def _positions(keys: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.nd
         x = x + step
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All partial counts of some buckets to those buckets' filters and exact unigrams."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(_U), b.column(2).to_numpy()) for b in batches]
-    if not parts:
-        return
-    n, h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    order = np.lexsort((n, h))
-    n, h, c = n[order], h[order], c[order]
-    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (n[1:] != n[:-1]))))
-    n, h, c = n[first], h[first], np.add.reduceat(c, first)
-    bucket = (h >> _U(64 - BUCKET_BITS)).astype(np.int64)
-    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        keys, levels = h[a:b], level_of(c[a:b])
-        size = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8)
-        bits = np.zeros(size, bool)
-        for level in range(1, int(levels.max()) + 1):
-            for at in _positions(keys[levels >= level], level, _U(size)):
-                bits[at] = True
-        one = n[a:b] == 1
-        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([keys[one].astype("<u8").tobytes()], pa.binary()), pa.array([c[a:b][one].astype("<i8").tobytes()], pa.binary())], ["bucket", "bits", "hashes", "counts"])
+def _merged(blobs: list[bytes], bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and summed counts of a bucket's blobs of one kind."""
+    if not blobs:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    h, c = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first] + _U(bucket << 64 - bits), np.add.reduceat(c, first)
+
+
+def _filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The bits that hold every key once for each level up to its count's."""
+    if not len(keys):
+        return b""
+    levels = level_of(counts)
+    size = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8)
+    bits = np.zeros(size, bool)
+    for level in range(1, int(levels.max()) + 1):
+        for at in _positions(keys[levels >= level], level, _U(size)):
+            bits[at] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _build(bits: int):
+    """Packed counts in the order of buckets to a row for each bucket."""
+
+    def close(bucket: int, blobs: tuple[list, list]) -> pa.RecordBatch:
+        (h, c), pairs = (_merged(b, bucket, bits) for b in blobs)
+        values = [bucket, bits, _filter(*pairs), h.astype("<u8").tobytes(), c.astype("<i8").tobytes()]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["bucket", "of", "bits", "hashes", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+        for batch in batches:
+            for bucket, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket != now:
+                    if now is not None:
+                        yield close(now, held)
+                    now, held = bucket, ([], [])
+                held[kind].append(blob.as_py())
+        if now is not None:
+            yield close(now, held)
+
+    return run
+
+
+def bucket_bits(df: DataFrame) -> int:
+    """How many bits of a hash tell its bucket, from the planner's size of ``df``."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_BITS, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
 
 
 def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """The model of a corpus: a row for each bucket with its filter bits and its
-    unigrams' sorted hashes and exact counts, in the shared folder."""
-    partial = texts.select(text_col).mapInArrow(_count, "n tinyint, hash long, count long")
-    dealt = partial.repartition(F.shiftrightunsigned("hash", 64 - BUCKET_BITS))
-    return cut(dealt.mapInArrow(_build, "bucket int, bits binary, hashes binary, counts binary"), "lm")
+    """The model of a corpus: a row for each bucket (of 2 ** ``of``) with its filter
+    bits and its unigrams' sorted hashes and exact counts, in the shared folder."""
+    texts = texts.select(text_col)
+    bits = bucket_bits(texts)
+    partial = texts.mapInArrow(_count(bits), "bucket int, kind tinyint, blob binary")
+    dealt = partial.repartition("bucket").sortWithinPartitions("bucket")
+    return cut(dealt.mapInArrow(_build(bits), "bucket int, of int, bits binary, hashes binary, counts binary"), "lm")
 
 
 class Segment:
-    """Buckets ``low`` to ``high`` (exclusive) of a model, in memory."""
+    """Buckets ``low`` to ``high`` (exclusive) of a model of 2 ** ``of`` buckets, in memory."""
 
-    def __init__(self, low: int, high: int, rows):
-        self.low, self.high = low, high
+    def __init__(self, low: int, high: int, of: int, rows):
+        self.low, self.high, self.of = low, high, of
         sizes, parts = np.zeros(high - low, np.int64), []
         hashes, counts = [], []
         for r in rows:  # in the order of buckets
@@ -150,14 +222,20 @@ class Segment:
         counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.counts = counts.astype(np.uint32) if len(counts) and counts.max() < 1 << 32 else counts
 
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> _U(64 - self.of)).astype(np.int64)
+
     def mine(self, keys: np.ndarray) -> np.ndarray:
-        bucket = (keys >> _U(64 - BUCKET_BITS)).astype(np.int64)
-        return np.flatnonzero((bucket >= self.low) & (bucket < self.high)) if self.high - self.low < 1 << BUCKET_BITS else np.arange(len(keys))
+        """Which keys belong to this segment."""
+        if self.high - self.low == 1 << self.of:
+            return np.arange(len(keys))
+        bucket = self._bucket(keys)
+        return np.flatnonzero((bucket >= self.low) & (bucket < self.high))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """How many levels of each key the filter holds, by probing upwards."""
         out = np.zeros(len(keys), np.uint8)
-        at = (keys >> _U(64 - BUCKET_BITS)).astype(np.int64) - self.low
+        at = self._bucket(keys) - self.low
         open_keys = np.flatnonzero(self.bits[at] > 0)
         for level in range(1, 200):
             if not len(open_keys):
@@ -182,24 +260,22 @@ class Segment:
         return np.where(self.hashes[at] == keys, self.counts[at], 0).astype(np.int64)
 
 
-def segments(model: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Iterator[Segment]:
-    """The model in segments of at most ``segment_bytes`` (or one bucket); every
-    segment is sized before it is fetched. Never fewer than one."""
+def segments(model: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Iterator[tuple[bool, Segment]]:
+    """The model in segments of at most ``segment_bytes`` (or one bucket), each with
+    whether it is the whole; every segment is sized before it is fetched."""
     size = F.octet_length("bits") + F.octet_length("hashes") + F.octet_length("counts")
-    sizes = {r.bucket: r.b for r in model.select("bucket", size.cast("long").alias("b")).collect()}  # at most 2**BUCKET_BITS rows
+    listed = model.select("bucket", "of", size.cast("long").alias("b")).collect()  # at most 2**MOST_BITS rows
+    sizes, of = {r.bucket: r.b for r in listed}, listed[0].of if listed else 0
     low = held = 0
     bounds = []
-    for b in range(1 << BUCKET_BITS):
+    for b in range(1 << of):
         if held and held + sizes.get(b, 0) > segment_bytes:
             bounds.append((low, b))
             low, held = b, 0
         held += sizes.get(b, 0)
-    for low, high in [*bounds, (low, 1 << BUCKET_BITS)]:
+    for low, high in (every := [*bounds, (low, 1 << of)]):
         part = model.where((F.col("bucket") >= low) & (F.col("bucket") < high))
-        yield Segment(low, high, sorted(part.toLocalIterator(), key=lambda r: r["bucket"]))
-
-
-_STATE = "struct<n_known:bigint,log_counts:double,levels:binary>"
+        yield len(every) == 1, Segment(low, high, of, sorted(part.toLocalIterator(), key=lambda r: r["bucket"]))
 
 
 def _chunks(texts: pa.Array) -> Iterator[list[np.ndarray]]:
@@ -215,60 +291,89 @@ def _chunks(texts: pa.Array) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _probe(shared):
-    def probe(texts: pa.Array, before: pa.Array) -> pa.Array:
-        segment, known, logs, levels = shared.value, [], [], []
-        i = 0
+def _known(segment: Segment, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Exact counts of the tokens and levels of the bigrams, 0 where they are another segment's."""
+    found, pairs = np.concatenate(held), np.concatenate([bigrams(h) for h in held])
+    unique, back = np.unique(found, return_inverse=True)
+    counts, levels = np.zeros(len(unique), np.int64), np.zeros(len(pairs), np.uint8)
+    at = segment.mine(unique)
+    counts[at] = segment.exact(unique[at])
+    at = segment.mine(pairs)
+    levels[at] = segment.levels(pairs[at])
+    return counts[back], levels
+
+
+def log10_probabilities(counts: np.ndarray, levels: np.ndarray, heads: np.ndarray, n_train: int, vocabulary: int, mu: float = MU) -> np.ndarray:
+    """Per token of texts that begin at ``heads``, from its exact count and its bigram's level."""
+    before = np.concatenate(([0], counts[:-1])).astype(np.float64)
+    # A text begins as often as one ends.
+    before[heads] = counts[np.concatenate((heads[1:], [len(counts)])) - 1]
+    pair = np.minimum(count_of(levels), np.minimum(before, counts))
+    single = (counts + 1) / (n_train + vocabulary + 1)
+    return np.log10((pair + mu * single) / (before + mu))
+
+
+_RESULT = "struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double>"
+
+
+def _results(parts: list[tuple], n_train: int, vocabulary: int, mu: float) -> pa.StructArray:
+    """From (counts, levels, heads) of runs of texts."""
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    for counts, levels, heads in parts:
+        n = np.diff(np.append(heads, len(counts)))
+        columns[0].append(n)
+        columns[1].append(np.add.reduceat((counts > 0).astype(np.int64), heads))
+        columns[2].append(np.add.reduceat(np.log10(counts + 1.0), heads) - n * np.log10(n_train + vocabulary + 1.0))
+        columns[3].append(np.add.reduceat(log10_probabilities(counts, levels, heads, n_train, vocabulary, mu), heads))
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    arrays = [pa.array(np.concatenate(c) if c else [], k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.StructArray.from_arrays(arrays, names=["n_tokens", "n_known", "base_score", "score"])
+
+
+def _heads(held: list[np.ndarray]) -> np.ndarray:
+    return np.cumsum([0, *map(len, held[:-1])])
+
+
+def _score(shared, n_train: int, vocabulary: int, mu: float):
+    """An Arrow UDF from texts to results, for a model of one segment."""
+
+    def score(texts: pa.Array) -> pa.Array:
+        return _results([(*_known(shared.value, held), _heads(held)) for held in _chunks(texts)], n_train, vocabulary, mu)
+
+    return F.arrow_udf(score, _RESULT)
+
+
+def _look(shared):
+    """An Arrow UDF from texts to what one segment knows of them, packed."""
+
+    def look(texts: pa.Array) -> pa.Array:
+        out = []
         for held in _chunks(texts):
-            found = np.concatenate(held)
-            pairs = np.concatenate([bigrams(h) for h in held])
-            state = np.zeros((len(found), 2), np.uint8)
-            if before[i].is_valid:
-                state = np.concatenate([np.frombuffer(before[j]["levels"].as_py(), np.uint8) for j in range(i, i + len(held))]).reshape(-1, 2).copy()
-            unique, back = np.unique(found, return_inverse=True)
-            at = segment.mine(unique)
-            level, count = np.zeros(len(unique), np.uint8), np.zeros(len(unique), np.int64)
-            level[at], count[at] = segment.levels(unique[at]), segment.exact(unique[at])
-            state[:, 0] = np.maximum(state[:, 0], level[back])
-            at = segment.mine(pairs)
-            state[at, 1] = segment.levels(pairs[at])
-            starts = np.cumsum([0, *map(len, held[:-1])])
-            known.append(np.add.reduceat((count > 0)[back].astype(np.int64), starts))
-            logs.append(np.add.reduceat(np.log10(count + 1.0)[back], starts))
-            ends = [*starts[1:].tolist(), len(found)]
-            levels += [state[a:b].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)]
-            i += len(held)
-        known = np.concatenate(known) if known else np.zeros(0, np.int64)
-        logs = np.concatenate(logs) if logs else np.zeros(0)
-        if len(before) and before[0].is_valid:
-            known = known + before.field(0).to_numpy()
-            logs = logs + before.field(1).to_numpy()
-        return pa.StructArray.from_arrays([pa.array(known), pa.array(logs), pa.array(levels, pa.binary())], names=["n_known", "log_counts", "levels"])
-
-    return F.arrow_udf(probe, _STATE)
-
-
-def log10_probabilities(levels: np.ndarray, n_train: int, vocabulary: int, mu: float = MU) -> np.ndarray:
-    """Per token from its levels (unigram, bigram) and its predecessor's."""
-    uni, pair = count_of(levels[:, 0]), count_of(levels[:, 1])
-    smooth = (uni + 1) / (n_train + vocabulary + 1)
-    before = np.concatenate(([0.0], uni[:-1]))
-    # The start's count is that of the ends; a history is no rarer than what follows it.
-    before[0] = uni[-1]
-    return np.log10((pair + mu * smooth) / (np.maximum(before, pair) + mu))
-
-
-def _finish(n_train: int, vocabulary: int, mu: float):
-    def finish(states: pa.Array) -> pa.Array:
-        n, scores = [], []
-        for levels in states.field(2):
-            found = np.frombuffer(levels.as_py(), np.uint8).reshape(-1, 2)
-            n.append(len(found))
-            scores.append(float(log10_probabilities(found, n_train, vocabulary, mu).sum()))
-        base = states.field(1).to_numpy() - np.array(n) * np.log10(n_train + vocabulary + 1.0)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), states.field(0), pa.array(base, pa.float64()), pa.array(scores, pa.float64())], names=["n_tokens", "n_known", "base_score", "score"])
-
-    return F.arrow_udf(finish, "struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double>")
+            counts, levels = _known(shared.value, held)
+            edges = [*_heads(held).tolist(), len(counts)]
+            out += [zlib.compress(counts[a:b].astype("<i8").tobytes() + levels[a:b].tobytes(), 1) for a, b in zip(edges, edges[1:])]
+        return pa.array(out, pa.binary())
+
+    return F.arrow_udf(look, "binary")
+
+
+def _join(n_train: int, vocabulary: int, mu: float):
+    """An Arrow UDF from all segments' packed columns of a text to its results.
+    A token belongs to one segment and so does a bigram, and others say 0."""
+
+    def join(packed: pa.Array) -> pa.Array:
+        parts = []
+        for row in packed:
+            counts = levels = 0
+            for blob in row.as_py():
+                raw = zlib.decompress(blob)
+                n = len(raw) // 9
+                counts = counts + np.frombuffer(raw, "<i8", n)
+                levels = levels + np.frombuffer(raw, np.uint8, n, 8 * n)
+            parts.append((counts, levels, np.zeros(1, np.int64)))
+        return _results(parts, n_train, vocabulary, mu)
+
+    return F.arrow_udf(join, _RESULT)
 
 
 def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
@@ -276,27 +381,30 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = HELD_OUT) -
 
 
 def score(docs: DataFrame, model: DataFrame, *, text_col: str = "text", mu: float = MU, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score.
-
-    Every segment has a pass of its own, whose outcome is written before the
-    next one begins, so that a worker never holds two segments.
-    """
+    """``docs`` with n_tokens, n_known, train_tokens, base_score and score."""
     context = docs.sparkSession.sparkContext
     totals = model.select((F.octet_length("hashes") / 8).cast("long").alias("v"), "counts").mapInArrow(_sum_counts, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
-    vocabulary, n_train = totals[0] or 0, totals[1] or 0
-    out, state, shared = docs, F.lit(None).cast(_STATE), None
-    for segment in segments(model, segment_bytes):
-        if shared is not None:
-            out = cut(out.withColumn("__state", state), "lm-pass")
-            shared.unpersist()
-            state = F.col("__state")
+    numbers = (totals[1] or 0, totals[0] or 0, mu)
+    lm, key, passes, keyed = fresh(docs, "lm"), fresh(docs, "key"), [], None
+    for whole, segment in segments(model, segment_bytes):
         shared = context.broadcast(segment)
-        state = _probe(shared)(F.col(text_col), state)
+        if whole:
+            out = docs.withColumn(lm, _score(shared, *numbers)(F.col(text_col)))
+            break
+        keyed = keyed or cut(docs.withColumn(key, F.monotonically_increasing_id()), "lm-docs")
+        passes.append(cut(keyed.select(F.col(key).alias("k"), _look(shared)(F.col(text_col)).alias("s")), "lm-pass"))
+        shared.unpersist()
+    else:
+        every = passes[0]
+        for more in passes[1:]:
+            every = every.union(more)
+        # A row for each segment; a token's zeros elsewhere pack to next to nothing.
+        found = every.groupBy(F.col("k").alias(f"{key}k")).agg(F.collect_list("s").alias("s"))
+        found = found.select(f"{key}k", _join(*numbers)("s").alias(lm))
+        out = keyed.join(found, F.col(key) == F.col(f"{key}k")).drop(key, f"{key}k")
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    out = out.withColumn("__lm", _finish(n_train, vocabulary, mu)(state))
-    found = F.col("__lm")
-    added = {c: F.lit(n_train).cast("long") if c == "train_tokens" else found[c] for c in names}
-    return without(out, *(c for c in names if c != text_col)).withColumns(added).drop("__lm", "__state")
+    added = {c: F.lit(numbers[0]).cast("long") if c == "train_tokens" else F.col(lm)[c] for c in names}
+    return without(out, *(c for c in names if c != text_col)).withColumns(added).drop(lm)
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
