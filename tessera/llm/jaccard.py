@@ -3,15 +3,19 @@
 1. Every document's set of word n-grams gets a digest and a MinHash signature
    in bands; band and row counts follow from the target recall.
 2. Documents with the same set are one class; the rest works on classes.
-3. A shuffle on band hashes links each class to the smallest class in its
-   bucket, never pair by pair; connected components of those links are the
-   candidate groups.
-4. Within a candidate group all pairs are verified on their full n-gram sets.
-   Large groups are dealt into blocks, a task holds two blocks, and a tile of
-   block against block is counted by matrix products, so neither pairs nor
-   whole groups are ever rows of one task.
+3. A shuffle on band hashes finds each bucket's hub, its smallest class. A hub
+   with all classes that meet it in some bucket is a candidate group, so classes
+   that share a bucket share a group, and chains of buckets don't grow together.
+4. Within a group pairs are verified on their full n-gram sets. Two classes may
+   share several groups; their link is counted in that of their smallest common
+   hub only. Classes of a large group are dealt into blocks, a task holds two
+   blocks, and a tile of block against block is counted by matrix products, so
+   neither pairs nor whole groups are ever rows of one task. A group whose
+   classes mostly meet a smaller hub anyway compares only the others with all,
+   so a crowd of near copies is compared about once, not once a hub.
 5. Link counts are summed; the links' spanning forests are joined to final
-   classes by connected components.
+   classes by connected components. Classes are numbered, and all shuffles but
+   those of texts are of numbers.
 
 Words: A-Z lower-cased, maximal runs of ASCII letters, digits and non-ASCII
 characters. A document of fewer than ``n`` words, but at least one, has one
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textscan
 from tessera.llm.components import components
-from tessera.llm.shared import cut, read_table
+from tessera.llm.shared import cut, fresh, read_table, release
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 200
 #: A block of a candidate group: at most about so many classes, and n-grams.
@@ -108,14 +112,38 @@ def signatures(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, rec
     return rows_in.mapInArrow(run, f"doc_id {kind}, text_hash long, digest binary, n_grams long, bands array<long>")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(digest, hub) links between classes that share a band bucket."""
-    from pyspark.sql import Window
-
-    banded = classes.select("digest", F.posexplode("bands").alias("band", "hash"))
-    bucket = Window.partitionBy("band", "hash")
-    linked = banded.select("digest", F.min("digest").over(bucket).alias("hub"))
-    return linked.where("digest <> hub").distinct().select(F.col("digest").alias("a"), F.col("hub").alias("b"))
+def _met(classes: DataFrame) -> DataFrame:
+    """(hub, cls): the classes that share a bucket with others, with each such
+    bucket's smallest class. Band hashes are salted by band, so the hash is the bucket."""
+    banded = classes.select("cls", F.explode("bands").alias("bucket"))
+    hubs = banded.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "hub")
+    return banded.join(hubs, F.col("bucket") == F.col("b")).select("hub", "cls").distinct()
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """``rows`` (hub, cls, low, n_grams, ...) with their block and one row for each
+    tile (hub, block_a, block_b) that they take part in.
+
+    ``low`` is a class's smallest hub. Of the classes of a group those with the
+    most frequent ``low``, if that is another group's hub, are compared there with
+    each other; here their blocks (numbers below kp) only meet the others' (kq)."""
+    def blocks(n, grams):
+        return F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(grams / BLOCK_GRAMS)).cast("int")
+
+    parts = rows.groupBy("hub", "low").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g"))
+    groups = parts.groupBy("hub").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.max(F.struct("n", "g", "low")).alias("most"))
+    apart = F.col("most.low") != F.col("hub")
+    p, pg = (F.when(apart, F.col(f"most.{c}")).otherwise(F.lit(0)) for c in ("n", "g"))
+    one = blocks(F.col("n"), F.col("g")) <= 1
+    kp = F.when(one, F.lit(0)).otherwise(blocks(p, pg))
+    kq = F.when(p == F.col("n"), F.lit(0)).when(one, F.lit(1)).otherwise(blocks(F.col("n") - p, F.col("g") - pg))
+    plans = groups.select(F.col("hub").alias("h"), F.when(apart, F.col("most.low")).alias("mode"), kp.alias("kp"), kq.alias("kq")).where("kq > 0")
+    dealt = rows.join(plans, F.col("hub") == F.col("h")).drop("h")
+    settled = (F.col("kp") > 0) & F.col("low").eqNullSafe(F.col("mode"))
+    deal = F.xxhash64("cls")
+    dealt = dealt.withColumn("block", F.when(settled, F.pmod(deal, F.col("kp"))).otherwise(F.col("kp") + F.pmod(deal, F.col("kq"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(settled, F.col("kp")).otherwise(F.lit(0)), F.col("kp") + F.col("kq") - 1)))
+    return dealt.withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")}).drop("other", "kp", "kq", "mode")
 
 
 def links_between(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
@@ -156,41 +184,57 @@ def roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-_TILE = ["comp", "block_a", "block_b"]
+_TILE = ["hub", "block_a", "block_b"]
+
+
+def counted_here(hub: int, hubs: list[list[int]]) -> np.ndarray:
+    """The boolean matrix of pairs of classes that share no hub below ``hub``."""
+    column = {h: i for i, h in enumerate({h for own in hubs for h in own if h < hub})}
+    meets = np.zeros((len(hubs), len(column)), np.float32)
+    for i, own in enumerate(hubs):
+        meets[i, [column[h] for h in own if h < hub]] = 1
+    return meets @ meets.T == 0
 
 
 def _verify(n: int, threshold: Fraction):
-    def tile(key: tuple, members: dict[bytes, tuple]) -> Iterator[tuple]:
+    def tile(key: tuple, members: dict[int, tuple]) -> Iterator[tuple]:
         if len(members) < 2:
             return
-        digests = sorted(members)
-        linked = links_between([members[d][2] for d in digests], threshold)
-        blocks = np.array([members[d][1] for d in digests])
+        classes = sorted(members)
+        here = counted_here(key[0], [members[c][2] for c in classes])
+        blocks = np.array([members[c][1] for c in classes])
         if key[1] != key[2]:
-            linked &= blocks[:, None] != blocks[None, :]
-        copies = np.array([members[d][0] for d in digests], np.int64)
+            here &= blocks[:, None] != blocks[None, :]
+        np.fill_diagonal(here, False)
+        # Classes without a pair to count here are not compared.
+        busy = np.flatnonzero(here.any(axis=1))
+        if not len(busy):
+            return
+        classes, here = [classes[i] for i in busy.tolist()], here[np.ix_(busy, busy)]
+        linked = links_between([grams(members[c][3], n) for c in classes], threshold) & here
+        copies = np.array([members[c][0] for c in classes], np.int64)
         for i, r in enumerate(roots(linked).tolist()):
             if linked[i].any():
-                yield digests[i], int(copies[linked[i]].sum()), digests[r]
+                yield classes[i], int(copies[linked[i]].sum()), classes[r]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, out = None, {}, []
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["digest", "links", "root"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["cls", "links", "root"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            texts = batch.column(6).cast(pa.binary())
-            for i, (comp, a, b, digest, copies, block) in enumerate(zip(*columns, strict=True)):
-                if (comp, a, b) != key:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            texts = batch.column(7).cast(pa.binary())
+            for i, (hub, a, b, cls, copies, block, hubs) in enumerate(zip(*columns, strict=True)):
+                if (hub, a, b) != key:
                     out.extend(tile(key, members))
-                    key, members = (comp, a, b), {}
+                    key, members = (hub, a, b), {}
                     if len(out) > 5000:
                         yield flush()
                         out = []
-                if digest not in members:
-                    members[digest] = (copies, block, grams(texts[i].as_py(), n))
+                if cls not in members:
+                    members[cls] = (copies, block, hubs, texts[i].as_py())
         out.extend(tile(key, members))
         if out:
             yield flush()
@@ -201,28 +245,26 @@ def _verify(n: int, threshold: Fraction):
 def _linked_classes(docs: DataFrame, signed: DataFrame, *, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """Per class: digest, copies, first (the least document of its group) and n_links."""
     who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    classes = signed.where("digest is not null").groupBy("digest", "n_grams", "bands").agg(F.min(who).alias("rep"), F.count("*").alias("copies"))
-    classes = cut(classes, "jaccard-classes")
-    groups = cut(components(_candidates(classes)), "jaccard-candidates").select(F.col("node").alias("digest"), F.col("label").alias("comp"))
-    members = cut(groups.join(classes.drop("bands"), "digest"), "jaccard-members")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n_grams").alias("all_grams"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_CLASSES), F.ceil(F.col("all_grams") / BLOCK_GRAMS)).cast("int")
-    large = sizes.select(F.col("comp").alias("c"), blocks.alias("blocks")).where("blocks > 1")
-    tiled = members.join(large, F.col("comp") == F.col("c"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    tiled = tiled.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    tiled = tiled.select("digest", "copies", "comp", "rep", "blocks", "block")
+    classes = signed.where("digest is not null").groupBy("digest", "n_grams").agg(F.min(who).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
+    met = cut(_met(classes), "jaccard-met")
+    own = met.groupBy(F.col("cls").alias("c")).agg(F.collect_set("hub").alias("hubs"), F.min("hub").alias("low"))  # at most one hub a band
+    members = cut(own.join(classes.select("cls", "n_grams", "copies", "rep"), F.col("c") == F.col("cls")).drop("cls"), "jaccard-members")
+    rows = cut(met.join(members, F.col("cls") == F.col("c")).drop("c"), "jaccard-groups")
+    tiled = _tiles(rows).select(*_TILE, "cls", "copies", "block", "hubs", "rep")
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     with_text = text.join(tiled, F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_hash") == F.col("rep.text_hash")))
-    with_text = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    with_text = with_text.select("comp", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "digest", "copies", "block", "text")
-    dealt = with_text.repartition(*_TILE).sortWithinPartitions(*_TILE)
+    dealt = with_text.select(*_TILE, "cls", "copies", "block", "hubs", "text").repartition(*_TILE).sortWithinPartitions(*_TILE)
     ratio = Fraction(str(threshold))
-    verified = cut(dealt.mapInArrow(_verify(n, ratio), "digest binary, links long, root binary"), "jaccard-links")
-    links = verified.groupBy("digest").agg(F.sum("links").alias("links"))
-    labels = components(verified.select(F.col("digest").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("digest"), "label")
-    joined = cut(classes.select("digest", "copies", "rep").join(links, "digest", "left").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "jaccard-labels")
-    firsts = joined.groupBy("label").agg(F.min("rep").alias("first"))
-    return joined.join(firsts, "label").select("digest", "copies", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    verified = cut(dealt.mapInArrow(_verify(n, ratio), "cls long, links long, root long"), "jaccard-links")
+    release(met, members, rows)
+    links = verified.groupBy(F.col("cls").alias("l")).agg(F.sum("links").alias("links"))
+    labels = components(verified.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    joined = classes.select("cls", "digest", "copies", "rep").join(links, F.col("cls") == F.col("l"), "left").join(labels, F.col("cls") == F.col("node"), "left")
+    joined = cut(joined.select("digest", "copies", "rep", "links", F.coalesce("label", "cls").alias("label")), "jaccard-labels")
+    release(classes, verified)
+    firsts = joined.groupBy(F.col("label").alias("f")).agg(F.min("rep").alias("first"))
+    return joined.join(firsts, F.col("label") == F.col("f")).select("digest", "copies", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
 def jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,16 +288,19 @@ def one_per_group(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
     classes = _linked_classes(docs, signed, n=n, threshold=threshold, id_col=id_col, text_col=text_col)
     repeated = signed.where("digest is not null").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
     wordless = signed.where("digest is null").select("doc_id", "text_hash")
-    stay = cut(classes.select("first.doc_id", "first.text_hash").distinct().union(wordless).distinct(), "jaccard-stay").select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h"))
-    keyed = docs.withColumn("__t", F.xxhash64(text_col))
-    kept = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__h")), "left_semi")
+    own = fresh(docs, "stay")
+    stay = cut(classes.select("first.doc_id", "first.text_hash").distinct().union(wordless).distinct(), "jaccard-stay").select(F.col("doc_id").alias(f"{own}_i"), F.col("text_hash").alias(f"{own}_h"))
+    release(signed)
+    keyed = docs.withColumn(own, F.xxhash64(text_col))
+    kept = keyed.join(stay, F.col(id_col).eqNullSafe(F.col(f"{own}_i")) & (F.col(own) == F.col(f"{own}_h")), "left_semi")
     if repeated:
         from pyspark.sql import Window
 
-        same = Window.partitionBy(id_col, "__t").orderBy("__t")
+        same = Window.partitionBy(id_col, own).orderBy(own)
         words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[0-9A-Za-z]|[^\x00-\x7F]")), F.lit(0))
-        kept = kept.withColumn("__n", F.row_number().over(same)).where((F.col("__n") == 1) | (words == 0)).drop("__n")
-    return kept.drop("__t")
+        nth = f"{own}_n"
+        kept = kept.withColumn(nth, F.row_number().over(same)).where((F.col(nth) == 1) | (words == 0)).drop(nth)
+    return kept.drop(own)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

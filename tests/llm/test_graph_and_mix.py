@@ -168,6 +168,52 @@ def near_texts(seed=11):
     return texts | {0: None, 2: "", 5: "..."}
 
 
+def test_a_chain_costs_what_its_links_do(spark):
+    """Texts that each share half with the next are one chain of buckets; compared are neighbours only."""
+    n, words = 400, [f"u{i}" for i in range(400 * 10 + 40)]
+    texts = {i: " ".join(words[i * 10 : i * 10 + 40]) for i in range(n)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signed = jaccard.signatures(table, recall=0.9999)
+    classes = jaccard.cut(signed.select(F.monotonically_increasing_id().alias("cls"), "bands", "n_grams"), "test")
+    met = jaccard._met(classes)
+    low = met.groupBy(F.col("cls").alias("c")).agg(F.min("hub").alias("low"))
+    rows = met.join(low, F.col("cls") == F.col("c")).drop("c").join(classes.select("cls", "n_grams"), "cls")
+    assert met.where("hub <> cls").count() > n / 4
+    sizes = [r["count"] for r in jaccard._tiles(rows).groupBy(*jaccard._TILE).count().collect()]
+    assert sum(k * k for k in sizes) < 30 * n and max(sizes) < 12
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(table).collect()}
+    assert got == brute_groups(texts)
+
+
+def test_a_crowd_is_compared_about_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 16)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    texts = {}
+    for i in range(400):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            copy[rng.randrange(150)] = f"x{rng.randrange(40)}"
+        texts[i] = " ".join(copy)
+    table = spark.createDataFrame([(i, t, 5, 6, "s") for i, t in texts.items()], "doc_id long, text string, __t int, __n int, __stay string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(table).collect()} == brute_groups(texts)
+    kept = jaccard.one_per_group(table).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({c for c, _ in brute_groups(texts).values()}) and all((r["__t"], r["__n"], r["__stay"]) == (5, 6, "s") for r in kept)
+    tiles = []
+    monkeypatch.setattr(jaccard, "_tiles", lambda rows, real=jaccard._tiles: (tiles.append(jaccard.cut(real(rows), "test")), tiles[0])[1])
+    jaccard.jaccard_join(table).count()
+    sizes = [r["count"] for r in tiles[0].groupBy(*jaccard._TILE).count().collect()]
+    assert sum(k * k for k in sizes) < 4 * 400 * 400 and max(sizes) < 100
+
+
+def test_pairs_are_counted_at_their_smallest_hub():
+    hubs = [[1, 5, 9], [5, 9], [1, 9], [9]]
+    want = lambda a, b, h: not any(x < h for x in set(hubs[a]) & set(hubs[b]))
+    for h in (1, 5, 9):
+        got = jaccard.counted_here(h, hubs)
+        assert all(got[a, b] == want(a, b, h) for a in range(4) for b in range(4))
+
+
 @pytest.mark.parametrize("block", [256, 8])
 def test_jaccard_join_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
