@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WORD, cut, read_table, unit
+from tessera.llm.shared import WORD, cut, fresh, read_table, unit
 
 SHARE, WEIGHTS, CAP = 1.5, (3, 1, 2), 2.0
 CHUNK, SEED = 48, 20_240_607
@@ -128,15 +128,17 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
     key = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")]
     units = cut(plan(docs.select(*key), **options), "mix-plan")
     repeated = units.where("m > 1").limit(1).count() > 0
-    taken = units.select(F.struct("doc_id", "source", "size").alias("__u"), F.col("whole").alias("__whole"), F.col("extra").alias("__extra"))
-    rows = docs.withColumn("__k", F.struct(*key))
-    nth = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(text_col))) if repeated else F.lit(1)
-    rows = rows.withColumn("__n", nth)
+    own = fresh(docs, "mix")
+    k, u, whole, extra, n, copies = (f"{own}_{x}" for x in ("k", "u", "whole", "extra", "n", "copies"))
+    taken = units.select(F.struct("doc_id", "source", "size").alias(u), F.col("whole").alias(whole), F.col("extra").alias(extra))
+    rows = docs.withColumn(k, F.struct(*key))
+    # Rows that still tie are equal in every column, so it doesn't matter which is first.
+    every = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
+    nth = F.row_number().over(Window.partitionBy(k).orderBy(F.xxhash64(text_col), every)) if repeated else F.lit(1)
     # The plan has a row for each document, so it is never broadcast, at any size.
-    joined = rows.join(taken.hint("merge"), F.col("__k") == F.col("__u"))
-    copies = F.col("__whole") + (F.col("__n") <= F.col("__extra")).cast("long")
-    joined = joined.withColumn("__copies", copies).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = rows.withColumn(n, nth).join(taken.hint("merge"), F.col(k) == F.col(u))
+    joined = joined.withColumn(copies, F.col(whole) + (F.col(n) <= F.col(extra)).cast("long")).where(F.col(copies) > 0)
+    return joined.withColumn(own, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

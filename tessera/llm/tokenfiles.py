@@ -159,10 +159,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, root: str | None = Non
     root = root or work_dir(spark, "tokens")
     store, base = pafs.FileSystem.from_uri(root)
     store.create_dir(base)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    # The row's number lets equal rows lie in several partitions.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    shards = cut(dealt.mapInArrow(_writer(root, tokenizer_path, end_id), _SHARDS), "token-shards")
+    shards = cut(dealt.select("doc_id", "text").mapInArrow(_writer(root, tokenizer_path, end_id), _SHARDS), "token-shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     kind = ChunkEncoder(tokenizer_path).kind

@@ -111,13 +111,19 @@ PAGES = [
     (4, "http://plain.io/1#frag", '<html><LINK href="//bad.example.com/de/1" rel=canonical>'), (5, "http://plain.io/2", '<meta http-equiv="refresh" content="0; url=/1">'),
     (6, "http://plain.io/3", '<meta http-equiv="refresh" content="0; url=4?a=1&amp;b=2">'), (7, None, None), (8, "no scheme", '<link rel="canonical" href="http://a.net/x">'),
     (9, "http://net", None), (10, "http://xnet/", None), (11, "http://plain.io/4?a=1&b=2", ""), (11, "http://plain.io/4?a=1&b=2", ""), (12, "http://example.com:80/de/", None),
+    (20, "HTTP://Plain.IO/20", '<link rel="nofollow Canonical" href="HTTP://Bad.NET">'), (21, "http://plain.io/20", None), (22, "http://plain.io/a/b?p=1", '<meta http-equiv=refresh content="0;url=?p=2">'),
+    (23, "http://plain.io/a/b?p=2", '<link rel=canonical href="../x/./y/../z">'), (24, "http://plain.io/x/z#top", "<link rel='canonical' href='//bad.net/'>"), (25, "http://free.io", '<link rel="canonical-ish" href="http://a.net/x">'),
+    (26, "http://free.io/", '<link rel=canonical href="#top">'), (27, "http://moved.io/old", None), (28, "http://free.io/c?u=http://x.net/", None),
 ]
 
 
 @pytest.mark.parametrize("literal", [500, 0])
 def test_url_filter(spark, monkeypatch, literal):
     monkeypatch.setattr(urlfilter, "MAX_LITERAL_RULES", literal)
-    table = spark.createDataFrame([(*p, "host") for p in PAGES], "page_id long, url string, html string, rule string")
+    table = spark.createDataFrame([(*p, "host", 7) for p in PAGES], "page_id long, url string, html string, rule string, __r int")
+    moved = spark.createDataFrame([("http://moved.io/old", "HTTP://Moved.io/./new"), ("http://moved.io/new", "/x/../newer"), ("http://moved.io/newer", "http://a.net/x"), (None, "x"), ("x", None)], "source string, target string")
+    with_table = {r.page_id: r.verdict for r in urlfilter.filter_urls(table, redirects=moved).collect()}
+    assert with_table[27] == "block" and with_table[26] == "allow" and {r["__r"] for r in urlfilter.filter_urls(table).collect()} == {7}
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(table).collect()}
     assert urlfilter.filter_urls(table).count() == len(PAGES)
     assert got[1] == ("a.net", "/x", "net/", "block")
@@ -129,9 +135,28 @@ def test_url_filter(spark, monkeypatch, literal):
     assert got[7] == ("", "", None, "allow") and got[8] == ("", "", None, "allow")
     assert got[9] == ("net", "", None, "allow") and got[10] == ("xnet", "/", None, "allow")
     assert got[12][2:] == (None, "allow")
+    assert [got[i][3] for i in range(20, 29)] == ["block"] * 5 + ["allow"] * 4
     assert urlfilter.filter_urls(table.limit(0)).count() == 0
 
 
+def test_url_sql_agrees_on_links(spark):
+    """The given pages hold no links, so the SQL is held against the operator on those of this test."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(PAGES, columns=["page_id", "url", "html"]))
+    want = sorted(map(str, con.sql(urlfilter.ORACLE).fetchall()))
+    frame = urlfilter.filter_urls(spark.createDataFrame(PAGES, "page_id long, url string, html string"))
+    assert sorted(str(tuple(r)) for r in frame.select("page_id", "host", "path", "rule", "verdict").collect()) == want
+
+
+def test_mix_keeps_clashing_columns(spark):
+    table = spark.createDataFrame([(i % 5, words(9), "a", 3, "u", 4) for i in range(20)], "doc_id long, text string, source string, __k int, __mix_u string, __n int")
+    got = mixing.mix(table)
+    assert got.columns == table.columns and {(r["__k"], r["__mix_u"], r["__n"]) for r in got.collect()} == {(3, "u", 4)}
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.choose_bands(0.8, 0.9999, 200)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 200
