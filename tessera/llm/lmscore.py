@@ -45,10 +45,10 @@ from tessera.llm.shared import cut, fresh, read_table, without
 FOLDS, HELD_OUT = 7, 2
 #: A bucket is for about so many bytes of input; their number is a power of two within these bounds.
 BUCKET_BYTES, LEAST_BITS, MOST_BITS = 1 << 20, 4, 18
-PROBES, BITS_PER_ENTRY, LEVEL_BASE = 7, 12, 2.0
+PROBES, BITS_PER_ENTRY, LEVEL_BASE = 5, 9, 2.0
 #: Words' worth of the unigram distribution added to a history's followers; held-out documents score best near it.
 MU = 200.0
-SEGMENT_BYTES = 128 << 20
+SEGMENT_BYTES = 160 << 20
 _END, _START = np.uint64(0x51ED270B9F3F4E21), np.uint64(0x2545F4914F6CDD1D)
 _LEVEL, _STEP = 0xA0761D6478BD642F, np.uint64(0xE7037ED1A0B428DB)
 _FLUSH, _CHUNK = 2_000_000, 300_000
@@ -164,12 +164,21 @@ def _filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<u8")
+
+
+def _counts(hashes: bytes, counts: bytes) -> np.ndarray:
+    """A bucket's counts, of 32 bits or of 64, one for each hash."""
+    return np.frombuffer(counts, "<u4" if 2 * len(counts) == len(hashes) else "<u8")
+
+
 def _build(bits: int):
     """Packed counts in the order of buckets to a row for each bucket."""
 
     def close(bucket: int, blobs: tuple[list, list]) -> pa.RecordBatch:
         (h, c), pairs = (_merged(b, bucket, bits) for b in blobs)
-        values = [bucket, bits, _filter(*pairs), h.astype("<u8").tobytes(), c.astype("<i8").tobytes()]
+        values = [bucket, bits, _filter(*pairs), h.astype("<u8").tobytes(), _narrow(c).tobytes()]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["bucket", "of", "bits", "hashes", "counts"])
 
@@ -208,19 +217,24 @@ class Segment:
     """Buckets ``low`` to ``high`` (exclusive) of a model of 2 ** ``of`` buckets, in memory."""
 
     def __init__(self, low: int, high: int, of: int, rows):
-        self.low, self.high, self.of = low, high, of
-        sizes, parts = np.zeros(high - low, np.int64), []
-        hashes, counts = [], []
+        sizes, parts, hashes, counts = np.zeros(high - low, np.int64), [], [], []
         for r in rows:  # in the order of buckets
             sizes[r["bucket"] - low] = len(r["bits"])
-            parts.append(np.frombuffer(r["bits"], np.uint8))
-            hashes.append(np.frombuffer(r["hashes"], "<u8"))
-            counts.append(np.frombuffer(r["counts"], "<i8"))
-        self.data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+            parts.append(r["bits"])
+            hashes.append(r["hashes"])
+            counts.append(_counts(r["hashes"], r["counts"]))
+        numbers = np.concatenate(counts) if counts else np.zeros(0, "<u4")
+        self.__setstate__((low, high, of, sizes, b"".join(parts), b"".join(hashes), numbers.dtype.str, numbers.tobytes()))
+
+    def __getstate__(self) -> tuple:
+        return self._state
+
+    def __setstate__(self, state: tuple) -> None:
+        """From plain bytes, so that neither sending nor receiving copies an array."""
+        self._state = state
+        self.low, self.high, self.of, sizes, data, hashes, kind, counts = state
+        self.data, self.hashes, self.counts = np.frombuffer(data, np.uint8), np.frombuffer(hashes, "<u8"), np.frombuffer(counts, kind)
         self.starts, self.bits = (np.cumsum(sizes) - sizes) * 8, (sizes * 8).astype(_U)
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, _U)
-        counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        self.counts = counts.astype(np.uint32) if len(counts) and counts.max() < 1 << 32 else counts
 
     def _bucket(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> _U(64 - self.of)).astype(np.int64)
@@ -383,7 +397,7 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = HELD_OUT) -
 def score(docs: DataFrame, model: DataFrame, *, text_col: str = "text", mu: float = MU, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score."""
     context = docs.sparkSession.sparkContext
-    totals = model.select((F.octet_length("hashes") / 8).cast("long").alias("v"), "counts").mapInArrow(_sum_counts, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
+    totals = model.select("hashes", "counts").mapInArrow(_sum_counts, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     numbers = (totals[1] or 0, totals[0] or 0, mu)
     lm, key, passes, keyed = fresh(docs, "lm"), fresh(docs, "key"), [], None
     for whole, segment in segments(model, segment_bytes):
@@ -409,8 +423,8 @@ def score(docs: DataFrame, model: DataFrame, *, text_col: str = "text", mu: floa
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sums = [int(np.frombuffer(x.as_py(), "<i8").sum()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], ["v", "n"])
+        held = [(h.as_py(), c.as_py()) for h, c in zip(batch.column(0), batch.column(1), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([len(h) // 8 for h, _ in held], pa.int64()), pa.array([int(_counts(h, c).sum()) for h, c in held], pa.int64())], ["v", "n"])
 
 
 def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
