@@ -12,12 +12,27 @@ RBC_THRESHOLD = 0.30
 DECILES = [i / 10 for i in range(1, 10)]
 
 
+def _moments(v: Column, n: Column) -> tuple[Column, Column]:
+    """Mean and population variance of values with counts."""
+    total = F.sum(n)
+    mean = F.sum(v * n) / total
+    return mean, F.greatest(F.sum(v * v * n) / total - mean * mean, F.lit(0.0))
+
+
+def histogram(px: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Each intensity's count (n) per group: all that exact statistics need, and at
+    most as many rows a group as there are intensities, summed before the shuffle."""
+    return px.groupBy(*by, value).agg(F.count("*").alias("n"))
+
+
 def profile(px: DataFrame, by: list[str], value: str, scale: float = 255.0) -> DataFrame:
     """Intensity profile (D1; D2 with scale 1): min, max, population SD, mean,
-    IQR and deciles by linear interpolation."""
-    v = F.col(value) / scale
-    both = F.percentile(v, F.array(*[F.lit(q) for q in [*DECILES, 0.25, 0.75]]))
-    out = px.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("sd"), F.avg(v).alias("mean"), both.alias("_q"))
+    IQR and deciles by linear interpolation, from histograms."""
+    counts = histogram(px.where(F.col(value).isNotNull()), by, value)
+    v = F.col(value).cast("double")
+    mean, variance = _moments(v, F.col("n"))
+    both = F.percentile(v / scale, F.array(*[F.lit(q) for q in [*DECILES, 0.25, 0.75]]), F.col("n"))
+    out = counts.groupBy(*by).agg((F.min(v) / scale).alias("min"), (F.max(v) / scale).alias("max"), (F.sqrt(variance) / scale).alias("sd"), (mean / scale).alias("mean"), both.alias("_q"))
     return out.select(*by, "min", "max", "sd", "mean", (F.col("_q")[10] - F.col("_q")[9]).alias("iqr"), *[F.col("_q")[i].alias(f"p{i + 1}") for i in range(9)])
 
 
@@ -53,9 +68,11 @@ def kde_peaks(px: DataFrame, by: list[str], value: str, **options) -> DataFrame:
 def region_stats(px: DataFrame, value: str) -> DataFrame:
     """Mean, median, min, max, SD and variance per compartment and, as ``cell``,
     of all compartments together (D4). The variance is of raw values over 255 once."""
-    v = F.col(value)
-    stats = [F.avg(v / 255).alias("mean"), (F.median(v) / 255).alias("median"), F.min(v / 255).alias("min"), F.max(v / 255).alias("max"), (F.stddev_pop(v) / 255).alias("sd"), (F.var_pop(v) / 255).alias("variance")]
-    return px.groupingSets([["cell_id", "comp"], ["cell_id"]], "cell_id", "comp").agg(*stats).withColumn("comp", F.coalesce("comp", F.lit("cell")))
+    counts = histogram(px.where(F.col(value).isNotNull()), ["cell_id", "comp"], value)
+    v = F.col(value).cast("double")
+    mean, variance = _moments(v, F.col("n"))
+    stats = [(mean / 255).alias("mean"), (F.percentile(v, F.lit(0.5), F.col("n")) / 255).alias("median"), (F.min(v) / 255).alias("min"), (F.max(v) / 255).alias("max"), (F.sqrt(variance) / 255).alias("sd"), (variance / 255).alias("variance")]
+    return counts.groupingSets([["cell_id", "comp"], ["cell_id"]], "cell_id", "comp").agg(*stats).withColumn("comp", F.coalesce("comp", F.lit("cell")))
 
 
 def morphology(pixels: DataFrame, scale: float = 1.0, key: str = "cell_id") -> DataFrame:
@@ -140,35 +157,49 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(steps, F.lit(0.0), lambda s, i: s + term(i))) / 2
 
 
-def union_area(boxes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Area covered by at least one box (D17): between neighbouring x edges the
-    merged y intervals; slabs meet only the boxes that span them."""
-    edges = boxes.select(*by, F.explode(F.array("x_min", "x_max")).alias("x")).distinct()
-    nxt = F.lead("x").over(Window.partitionBy(*by).orderBy("x"))
-    slabs = edges.withColumn("x_to", nxt).where("x_to is not null")
-    slabs = slabs.select(*[F.col(c).alias(f"_{c}") for c in by], "x", "x_to")
-    spans = (F.col("x_min") <= F.col("x")) & (F.col("x_max") >= F.col("x_to"))
-    for c in by:
-        spans = spans & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    held = boxes.join(slabs, spans).select(*by, "x", "x_to", "y_min", "y_max")
-    w = Window.partitionBy(*by, "x").orderBy("y_min", "y_max").rowsBetween(Window.unboundedPreceding, -1)
+def union_area(boxes: DataFrame, by: tuple[str, ...] = (), strip: float = 1000.0) -> DataFrame:
+    """Area covered by at least one box (D17). Boxes are cut at upright strips; in a
+    strip, between neighbouring x edges, the merged y intervals count. Slabs only
+    meet boxes of their own strip."""
+    cut = boxes.select(*by, "x_min", "x_max", "y_min", "y_max", F.explode(F.sequence(F.floor(F.col("x_min") / strip).cast("long"), F.floor(F.col("x_max") / strip).cast("long"))).alias("_strip"))
+    cut = cut.withColumns({"x_min": F.greatest(F.col("x_min").cast("double"), F.col("_strip") * strip), "x_max": F.least(F.col("x_max").cast("double"), (F.col("_strip") + 1) * strip)}).where("x_min < x_max")
+    keys = (*by, "_strip")
+    edges = cut.select(*keys, F.explode(F.array("x_min", "x_max")).alias("x")).distinct()
+    nxt = F.lead("x").over(Window.partitionBy(*keys).orderBy("x"))
+    slabs = edges.withColumn("x_to", nxt).where("x_to is not null").select(*[F.col(c).alias(f"_{c}") for c in keys], "x", "x_to")
+    on = (F.col("x_min") <= F.col("x")) & (F.col("x_max") >= F.col("x_to"))
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    held = cut.join(slabs, on).select(*keys, "x", "x_to", "y_min", "y_max")
+    w = Window.partitionBy(*keys, "x").orderBy("y_min", "y_max").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("y_max").over(w)
     gain = F.greatest(F.lit(0), F.col("y_max") - F.greatest(F.col("y_min"), F.coalesce(reach, F.col("y_min"))))
     return held.withColumn("a", gain * (F.col("x_to") - F.col("x"))).groupBy(*by).agg(F.sum("a").cast("double").alias("area"))
 
 
 def bounds(mask: DataFrame, buffer: int, height: int, width: int) -> DataFrame:
-    """The mask's bounding box with a buffer, clamped."""
-    return mask.agg(
-        F.greatest(F.min("ty") - buffer, F.lit(0)).alias("y_min"), F.least(F.max("ty") + buffer, F.lit(height)).alias("y_max"),
-        F.greatest(F.min("tx") - buffer, F.lit(0)).alias("x_min"), F.least(F.max("tx") + buffer, F.lit(width)).alias("x_max"),
+    """The mask's bounding box with a buffer, clamped (D20); no row for an empty mask."""
+    found = mask.agg(F.min("ty").alias("a"), F.max("ty").alias("b"), F.min("tx").alias("c"), F.max("tx").alias("d")).where("a is not null and c is not null")
+    return found.select(
+        F.greatest(F.col("a") - buffer, F.lit(0)).alias("y_min"), F.least(F.col("b") + buffer, F.lit(height)).alias("y_max"),
+        F.greatest(F.col("c") - buffer, F.lit(0)).alias("x_min"), F.least(F.col("d") + buffer, F.lit(width)).alias("x_max"),
     )
 
 
-def normalised(df: DataFrame, value: str, low: float, high: float, by: tuple[str, ...] = (), clip: bool = True) -> DataFrame:
-    """Rescaled between two percentiles of the group."""
-    w = Window.partitionBy(*by)
-    lo, hi = (F.percentile(value, q).over(w) for q in (low, high))
-    out = (F.col(value) - lo) / F.nullif(hi - lo, F.lit(0.0))
-    out = F.coalesce(out, F.lit(0.0))
-    return df.withColumn("norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)) if clip else out)
+def normalised(df: DataFrame, value: str, low: float, high: float, by: tuple[str, ...] = (), clip: bool = True, caps: tuple[float, float] | None = None) -> DataFrame:
+    """Rescaled between two percentiles of the group, from its histogram.
+    Without a group they are one row joined to all; ``caps`` bound the lower one
+    (from above) and the upper one (from below)."""
+    counts = histogram(df.where(F.col(value).isNotNull()), list(by), value)
+    found = F.percentile(F.col(value).cast("double"), F.array(F.lit(low), F.lit(high)), F.col("n"))
+    limits = (counts.groupBy(*by) if by else counts).agg(found.alias("_q"))
+    limits = limits.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    if caps:
+        limits = limits.withColumns({"_lo": F.least("_lo", F.lit(float(caps[0]))), "_hi": F.greatest("_hi", F.lit(float(caps[1])))})
+    on = None
+    for c in by:
+        same = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        on = same if on is None else on & same
+    joined = df.join(limits, on, "left") if by else df.join(F.broadcast(limits))  # one row
+    out = F.coalesce((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
+    return joined.withColumn("norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)) if clip else out).drop(*limits.columns)

@@ -104,12 +104,16 @@ def sharpened(px: DataFrame, top: int = 255) -> DataFrame:
 def less_autofluorescence(px: DataFrame, channels: list[str]) -> DataFrame:
     """Autofluorescence channels taken off one after the other (I6): each scaled
     to the current maximum; what was 0 stays 0."""
-    out = px.withColumn("_v0", F.col("v")).withColumn("v", F.col("v").cast("double"))
+    v = F.col("v").cast("double")
+    tops = px.agg(*[F.max(c).alias(c) for c in channels]).first() if channels else {}
     for c in channels:
-        tops = out.agg(F.max("v").alias("_tv"), F.max(c).alias("_tc"))
-        rest = F.greatest(F.col("v") - F.col(c) / F.nullif(F.col("_tc"), F.lit(0)) * F.col("_tv"), F.lit(0.0))
-        out = out.join(F.broadcast(tops)).withColumn("v", F.when(F.col("_v0") == 0, 0.0).otherwise(F.coalesce(rest, F.col("v")))).drop("_tv", "_tc")  # one row
-    return out.withColumn("v", F.floor("v").cast("int")).drop("_v0")
+        # One number a channel comes back, so every step is one scan of the pixels.
+        now = v
+        top = px.agg(F.max(now).alias("t")).first()["t"]
+        if tops[c]:
+            rest = F.greatest(now - F.col(c) / F.lit(tops[c]) * F.lit(top), F.lit(0.0))
+            v = F.when(F.col("v") == 0, 0.0).otherwise(F.coalesce(rest, now))
+    return px.withColumn("v", F.floor(v).cast("int"))
 
 
 def optical_density(v: Column, background: float = BACKGROUND) -> Column:
@@ -208,20 +212,35 @@ def blurred(image: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def labelled(mask: np.ndarray) -> np.ndarray:
-    """4-connected components numbered from 1."""
-    out, n = np.zeros(mask.shape, int), 0
-    for start in zip(*np.nonzero(mask), strict=True):
-        if out[start]:
-            continue
-        n += 1
-        stack = [start]
-        out[start] = n
-        while stack:
-            y, x = stack.pop()
-            for a, b in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
-                if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not out[a, b]:
-                    out[a, b] = n
-                    stack.append((a, b))
+    """4-connected components numbered from 1, in the order of their first pixels:
+    runs of each row, joined to the runs that they touch in the row above."""
+    mask = np.asarray(mask, bool)
+    height, width = mask.shape
+    flat = np.zeros((height, width + 2), np.int8)
+    flat[:, 1:-1] = mask
+    step = np.diff(flat, axis=1)
+    row, start = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1]
+    if not len(row):
+        return np.zeros(mask.shape, int)
+    number = np.zeros(mask.shape, int)
+    at = np.repeat(np.arange(len(row)), end - start)
+    number[mask] = at
+    both = mask[1:] & mask[:-1]
+    pairs = np.unique(np.stack([number[:-1][both], number[1:][both]], 1), axis=0)
+    root = np.arange(len(row))
+    while True:
+        low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
+        new = root.copy()
+        np.minimum.at(new, root[pairs[:, 0]], low)
+        np.minimum.at(new, root[pairs[:, 1]], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    _, label = np.unique(root, return_inverse=True)
+    out = np.zeros(mask.shape, int)
+    out[mask] = label[at] + 1
     return out
 
 

@@ -70,23 +70,29 @@ def first_box(points: DataFrame, boxes: DataFrame, *, key: str, order: str, labe
     return points.join(hits, key, "left").withColumn(label, F.coalesce(label, F.lit(default)))
 
 
-def ray_inside(y: Column, x: Column, ring: Column) -> Column:
-    """Even-odd test of a point against a closed ring, points on an edge excluded."""
-    at = lambda i: F.get(ring, i)
-    steps = F.sequence(F.lit(0), F.size(ring) - 2)
-
+def ray_crossings(y: Column, x: Column, ring: Column) -> Column:
+    """How many edges of a closed ring a ray from the point along x crosses."""
     def crosses(i: Column) -> Column:
-        a, b = at(i), at(i + 1)
+        a, b = F.get(ring, i), F.get(ring, i + 1)
         cut = a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
         return F.when((a["y"] > y) != (b["y"] > y), F.coalesce(x < cut, F.lit(False))).otherwise(F.lit(False))
 
+    return F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0), lambda s, i: s + crosses(i).cast("int"))
+
+
+def ray_on_edge(y: Column, x: Column, ring: Column) -> Column:
+    """Whether the point lies on an edge of a closed ring."""
     def on_edge(i: Column) -> Column:
-        a, b = at(i), at(i + 1)
+        a, b = F.get(ring, i), F.get(ring, i + 1)
         flat = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
         return flat & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
 
-    odd = F.aggregate(steps, F.lit(0), lambda s, i: s + crosses(i).cast("int")) % 2 == 1
-    return odd & ~F.exists(steps, on_edge)
+    return F.exists(F.sequence(F.lit(0), F.size(ring) - 2), on_edge)
+
+
+def ray_inside(y: Column, x: Column, ring: Column) -> Column:
+    """Even-odd test of a point against a closed ring, points on an edge excluded."""
+    return (ray_crossings(y, x, ring) % 2 == 1) & ~ray_on_edge(y, x, ring)
 
 
 def in_polygons(points: DataFrame, polygons: DataFrame, *, grid: float = 500.0) -> DataFrame:

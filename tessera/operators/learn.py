@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -10,13 +11,18 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from tessera.sources import store
 
 
 def scaled_vectors(df: DataFrame, column: str, out: str = "scaled") -> DataFrame:
     """Vectors with zero mean and unit population deviation per component."""
     vectors = df.withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))
+    if not df.limit(1).count():
+        return vectors.withColumnRenamed("_v", out)
     row = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).select("s.mean", "s.variance", "s.count").first()
-    n = max(1, row["count"])
+    n = row["count"]
     mean, sd = np.array(row["mean"].toArray()), np.sqrt(row["variance"].toArray() * (n - 1) / n)
     sd[sd == 0] = 1.0
     pairs = F.arrays_zip(F.col(column).cast("array<double>").alias("v"), F.array(*map(F.lit, mean.tolist())).alias("m"), F.array(*map(F.lit, sd.tolist())).alias("s"))
@@ -32,8 +38,10 @@ def reduced(df: DataFrame, column: str, share: float = 0.90, out: str = "pca") -
     """Principal components of scaled vectors up to the share of variance, and all
     variance ratios (J1)."""
     scaled = scaled_vectors(df, column)
-    first = scaled.select(F.size(column).alias("n")).first()
-    width = min(first["n"], df.count())
+    shape = scaled.agg(F.max(F.size(column)), F.count("*")).first()
+    if not shape[1]:
+        return scaled.withColumnRenamed("scaled", out), np.zeros(0)
+    width = min(shape)
     model = PCA(k=width, inputCol="scaled", outputCol="_all").fit(scaled)
     ratios = model.explainedVariance.toArray()
     k = components_for(ratios, share)
@@ -50,8 +58,12 @@ def best_kmeans(df: DataFrame, k: int, features: str, seed: int = 0, inits: int
 def tiers(df: DataFrame, column: str, k: int = 7, seed: int = 0, share: float = 0.90, rank_by: str | None = None, key: str = "vec_id") -> DataFrame:
     """k-means tiers (J2); with ``rank_by`` tier 0 has the largest median of that
     column, so that numbers don't depend on the clustering's labels."""
-    cut, _ = reduced(df, column, share)
-    called = best_kmeans(cut, k, "pca", seed, out="_c").transform(cut).drop("pca")
+    vectors, ratios = reduced(df, column, share)
+    if not len(ratios):
+        return vectors.withColumn("tier", F.lit(0)).drop("pca")
+    # Scaling and projection are done once for all fits, not in each of their rounds.
+    vectors = store.saved(vectors)
+    called = best_kmeans(vectors, k, "pca", seed, out="_c").transform(vectors).drop("pca")
     if rank_by is None:
         return called.withColumnRenamed("_c", "tier")
     medians = called.groupBy("_c").agg(F.median(rank_by).alias("_m"))
@@ -59,12 +71,28 @@ def tiers(df: DataFrame, column: str, k: int = 7, seed: int = 0, share: float =
     return called.join(F.broadcast(ranks), "_c").drop("_c")  # k rows
 
 
-def tiers_per_core(df: DataFrame, column: str, core: str, k: int = 7, seed: int = 0) -> DataFrame:
-    """Each core clustered for itself (J3): cores are few, their fits run one after another."""
-    from functools import reduce as fold
+def _fit_core(points: np.ndarray, k: int, seed: int, share: float) -> np.ndarray:
+    """Scaled, projected to the share of variance, the cheapest of three k-means."""
+    spread = points.std(axis=0)
+    scaled = (points - points.mean(axis=0)) / np.where(spread == 0, 1.0, spread)
+    _, sizes, axes = np.linalg.svd(scaled, full_matrices=False)
+    ratios = sizes**2 / max((sizes**2).sum(), 1e-300)
+    reduced_points = scaled @ axes[: components_for(ratios, share)].T
+    fits = []
+    for i in range(3):
+        label = grouped(reduced_points, k, seed + i)
+        cost = sum(((reduced_points[label == g] - reduced_points[label == g].mean(axis=0)) ** 2).sum() for g in np.unique(label))
+        fits.append((cost, i, label))
+    return min(fits, key=lambda f: f[:2])[2]
+
+
+def tiers_per_core(df: DataFrame, column: str, core: str, k: int = 7, seed: int = 0, share: float = 0.90) -> DataFrame:
+    """Each core clustered for itself (J3), one task a core: a core is a few thousand cells."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(tier=_fit_core(np.vstack(pdf[column].to_list()).astype(float), k, seed, share).astype("int32"))
 
-    cores = [r[0] for r in df.select(core).distinct().orderBy(core).collect()]
-    return fold(DataFrame.unionByName, [tiers(df.where(F.col(core) == c), column, k, seed) for c in cores])
+    schema = StructType([*df.schema.fields, StructField("tier", IntegerType())])
+    return df.groupBy(core).applyInPandas(run, schema)
 
 
 def reclustered(df: DataFrame, column: str, tier: int, k: int = 7, seed: int = 0, key: str = "vec_id") -> DataFrame:
@@ -124,10 +152,12 @@ def mixture(df: DataFrame, column: str, k: int = 60, seed: int = 0, merge_to: in
     """Gaussian mixture on the first principal components (J7), its components
     merged by k-means over their means. The components stand in for a non-linear
     embedding of as many dimensions, which has no Spark form."""
-    cut, _ = reduced(df, column)
-    cut = cut.withColumn("pca", array_to_vector(F.slice(vector_to_array("pca"), 1, dims)))
-    model = GaussianMixture(k=k, seed=seed, featuresCol="pca", predictionCol="gmm").fit(cut)
-    out = model.transform(cut).drop("pca", "probability")
+    vectors, ratios = reduced(df, column)
+    if not len(ratios):
+        return vectors.drop("pca").withColumns({c: F.lit(0) for c in ("gmm", "cluster")[: 1 + bool(merge_to)]})
+    vectors = store.saved(vectors.withColumn("pca", array_to_vector(F.slice(vector_to_array("pca"), 1, dims))))
+    model = GaussianMixture(k=k, seed=seed, featuresCol="pca", predictionCol="gmm").fit(vectors)
+    out = model.transform(vectors).drop("pca", "probability")
     if merge_to:
         means = np.array([r["mean"].toArray() for r in model.gaussiansDF.select("mean").collect()])  # k rows
         groups = enumerate(grouped(means, merge_to, seed).tolist())

@@ -71,13 +71,17 @@ def expanded(ring: Column, d: float, most: float) -> Column:
     return F.transform(ring, move)
 
 
-def cytoplasm(grown: DataFrame, nuclei: DataFrame, height: int, width: int, reach: float = 40.0) -> DataFrame:
+def cytoplasm(grown: DataFrame, nuclei: DataFrame, height: int, width: int, reach: float | None = None) -> DataFrame:
     """Cytoplasm pixels (H4): grown pixels inside the bounds, each to the nearest
     nucleus' cell and only if that is its own, less all nuclei. ``grown`` and
-    ``nuclei`` are (cell_id, y, x). ``reach`` is more than nuclei were grown by.
-    Cells left without one fall back to their nucleus."""
+    ``nuclei`` are (cell_id, y, x). ``reach`` is more than nuclei were grown by; if
+    it isn't given, the largest grown shape's diagonal, which no pixel's distance
+    to its own nucleus exceeds. Cells left without one fall back to their nucleus."""
     from tessera.operators.joins import nearest
 
+    if reach is None:
+        sides = grown.unionByName(nuclei.select("cell_id", "y", "x")).groupBy("cell_id").agg((F.max("y") - F.min("y")).alias("h"), (F.max("x") - F.min("x")).alias("w"))
+        reach = (sides.agg(F.max(F.sqrt(F.col("h") * F.col("h") + F.col("w") * F.col("w")))).first()[0] or 0.0) + 1.0
     inner = grown.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width)).distinct()
     points = inner.select(F.struct("cell_id", "y", "x").alias("pixel"), F.col("y").cast("double").alias("cy"), F.col("x").cast("double").alias("cx"))
     targets = nuclei.select(F.col("cell_id").alias("owner"), F.col("y").cast("double").alias("cy"), F.col("x").cast("double").alias("cx"))
@@ -92,15 +96,6 @@ def box_ring(y_min: Column, x_min: Column, y_max: Column, x_max: Column) -> Colu
     return F.array(point(y_min, x_min), point(y_min, x_max), point(y_max, x_max), point(y_max, x_min), point(y_min, x_min))
 
 
-def valid_rings(rings: DataFrame) -> DataFrame:
-    """Rings that close, with four points or more and some area (H7); others are
-    told apart rather than repaired."""
-    from tessera.operators.aggregates import ring_area
-
-    closed = (F.size("ring") >= 4) & (F.element_at("ring", 1) == F.element_at("ring", -1))
-    return rings.withColumn("is_valid", F.coalesce(closed & (ring_area(F.col("ring")) > 0), F.lit(False)))
-
-
 def tma_cores(features: DataFrame) -> DataFrame:
     """Cores that aren't missing: (name, ring) (H8)."""
     return features.where("not is_missing").select("name", "ring")
@@ -118,13 +113,17 @@ def waxman_edges(points: DataFrame, *, key: str, longest: float | None = None, a
 
 
 def diameter(points: DataFrame) -> float:
-    """The largest distance between points: hulls per grid cell on the executors,
-    the few extreme points at the driver."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = hull(pdf["cy"].to_numpy(float), pdf["cx"].to_numpy(float))
-        return pd.DataFrame(ring, columns=["cy", "cx"])
+    """The largest distance between points: a hull for each batch on the executors,
+    then one for each partition of those, the few extreme points at the driver."""
+    def run(batches):
+        held = np.zeros((0, 2))
+        for pdf in batches:
+            both = np.vstack([held, pdf[["cy", "cx"]].to_numpy(float)])
+            held = np.array(hull(both[:, 0], both[:, 1])).reshape(-1, 2)
+        if len(held):
+            yield pd.DataFrame(held, columns=["cy", "cx"])
 
-    extremes = points.select("cy", "cx").withColumn("g", F.pmod(F.xxhash64("cy", "cx"), F.lit(32))).groupBy("g").applyInPandas(run, "cy double, cx double").toPandas()
+    extremes = points.select("cy", "cx").where("cy is not null and cx is not null").mapInPandas(run, "cy double, cx double").toPandas()
     if len(extremes) < 2:
         return 0.0
     ring = np.array(hull(extremes["cy"].to_numpy(), extremes["cx"].to_numpy()))

@@ -7,11 +7,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.store import saved
+
 
 def dense_ids(df: DataFrame, order: list, by: tuple[str, ...] = (), out: str = "cell_index") -> DataFrame:
-    """0, 1, 2 … in order (E1). With a partition column this scales; without, one
-    task numbers all rows, so give one on large tables."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("int"))
+    """0, 1, 2 … in order (E1). Without a partition column rows are dealt by ranges
+    of the order and written; a range's numbers begin where the ranges before it
+    end, so no task numbers more than its own."""
+    if by:
+        return df.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("int"))
+    dealt = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    # A row for each partition.
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    numbered = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return numbered.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(out, F.col("_before") + F.col("_at") - 1).drop("_part", "_p", "_before", "_at")
 
 
 def tile_grid(rows: int, columns: int, df: DataFrame, row: str = "gy", column: str = "gx") -> DataFrame:

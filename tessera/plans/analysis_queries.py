@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregates, image, joins, learn, scalar, spatial, windows
+from tessera.operators import aggregates, image, joins, learn, polygons, scalar, spatial, windows
 from tessera.plans import technologies
 from tessera.plans.registry import query
 
@@ -147,6 +147,12 @@ def _(v):
     return rounded(aggregates.normalised(v["img"], "v", 0.1, 0.9, ("y",)).select("y", "x", "norm"), "y", "x")
 
 
+@query("d21_global_normalise", "SELECT y, x, round(greatest(0, least(1, coalesce((v - least(lo, 100)) / nullif(greatest(hi, 200) - least(lo, 100), 0), 0))), 6) AS norm FROM img, (SELECT quantile_cont(v, 0.4) AS lo, quantile_cont(v, 0.6) AS hi FROM img)")
+def _(v):
+    """Over all pixels, the lower limit 100 at most and the upper one 200 at least."""
+    return rounded(aggregates.normalised(v["img"], "v", 0.4, 0.6, caps=(100, 200)).select("y", "x", "norm"), "y", "x")
+
+
 @query("d22_canvas_extent", "SELECT max(y0) + 1000 AS height, max(x0) + 1000 AS width FROM tilestats")
 def _(v):
     return spatial.canvas(v["tilestats"])
@@ -169,6 +175,11 @@ def _(v):
     return windows.dense_ids(v["cells"], ["y", "x"], ("tile_index",)).select("cell_id", "cell_index")
 
 
+@query("e1_dense_ids_overall", "SELECT cell_id, row_number() OVER (ORDER BY y, x, cell_id) - 1 AS cell_index FROM cells")
+def _(v):
+    return windows.dense_ids(v["cells"], ["y", "x", "cell_id"]).select("cell_id", "cell_index")
+
+
 @query("e2_tile_enumeration", "SELECT CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, tissue_pct FROM range(0, 5) a(gy), range(0, 4) b(gx) LEFT JOIN tilestats ON y0 = gy * 1000 AND x0 = gx * 1000")
 def _(v):
     known = v["tilestats"].select((c("y0") / 1000).cast("int").alias("gy"), (c("x0") / 1000).cast("int").alias("gx"), "tissue_pct")
@@ -240,9 +251,13 @@ def _(v):
     return whole.join(inner, c("ann_id") == c("outer_id"), "left").select("ann_id", (c("area") - F.coalesce("inner_area", F.lit(0.0))).alias("difference"))
 
 
-@query("h1_convex_hull")
+@query("h1_convex_hull", """WITH d AS (SELECT DISTINCT cell_id, y, x FROM shape), e AS (SELECT p.cell_id, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM d p JOIN d q ON p.cell_id = q.cell_id AND (p.x, p.y) <> (q.x, q.y)
+  WHERE NOT EXISTS (SELECT 1 FROM d r WHERE r.cell_id = p.cell_id AND ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0
+    OR ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 AND (r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) NOT BETWEEN 0 AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2))))
+  SELECT cell_id, CAST(count(*) + 1 AS INT) AS points, round(sum(px * qy - qx * py) / 2.0::DOUBLE, 6) AS area FROM e GROUP BY cell_id HAVING count(*) >= 3""")
 def _(v):
-    rings = spatial.hulls(v["shape"])
+    """Hulls with an area: its corners (the first one twice) and size."""
+    rings = spatial.hulls(v["shape"]).where(F.size("ring") > 3)
     return rings.select("cell_id", F.size("ring").alias("points"), F.round(aggregates.ring_area(c("ring")), 6).alias("area"))
 
 
@@ -305,7 +320,7 @@ def _(v):
 @query("h7_ring_validity", "SELECT ann_id AS cell_id, ann_id % 2 = 0 AS is_valid FROM ann")
 def _(v):
     half = _rings(v).withColumn("ring", F.when(c("cell_id") % 2 == 0, c("ring")).otherwise(F.slice("ring", 1, 3)))
-    return spatial.valid_rings(half).select("cell_id", "is_valid")
+    return polygons.valid_rings(half).select("cell_id", "is_valid")
 
 
 @query("h8_tma_cores", "SELECT name || '-' || ann_id AS name FROM ann WHERE ann_id % 4 <> 0")
@@ -315,10 +330,11 @@ def _(v):
 
 
 @query("h9_waxman_graph", """WITH p AS (SELECT cell_id, y, x FROM cells WHERE tile_index = 11), l AS (SELECT max(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS l FROM p a, p b)
-  SELECT a.cell_id AS src, b.cell_id AS dst, round(exp(-sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) / (0.1 * l)), 6) AS p FROM p a JOIN p b ON a.cell_id < b.cell_id, l WHERE exp(-sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) / (0.1 * l)) > 0.9""")
+  SELECT a.cell_id AS src, b.cell_id AS dst, round(exp(-sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) / (0.8 * l)), 6) AS p FROM p a JOIN p b ON a.cell_id < b.cell_id, l WHERE exp(-sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) / (0.8 * l)) > 0.9""")
 def _(v):
     points = v["cells"].where("tile_index = 11").select("cell_id", c("y").cast("double").alias("cy"), c("x").cast("double").alias("cx"))
-    return spatial.waxman_edges(points, key="cell_id").select("src", "dst", F.round("p", 6).alias("p"))
+    # The default beta of 0.1 leaves no edge between these sparse points.
+    return spatial.waxman_edges(points, key="cell_id", beta=0.8).select("src", "dst", F.round("p", 6).alias("p"))
 
 
 @query("h10_coexpression", "SELECT cell_id, c.y + y0 AS abs_y, c.x + x0 AS abs_x FROM cellinfo c JOIN tilestats USING (tile_index) WHERE m1_expression AND m2_expression")

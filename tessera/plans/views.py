@@ -29,15 +29,14 @@ SQL = {
  FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
     "ann_nested": """SELECT ann_id, name, x_min, y_min, x_max, y_max FROM {ann}
  UNION ALL SELECT ann_id + 100, name, x_min + 50, y_min + 50, x_max - 50, y_max - 50 FROM {ann} WHERE ann_id % 2 = 0""",
+    # Outlines that are no boxes: a triangle, an L, and a box with a hole, by ann_id % 3; a and b are half the sides.
+    "outline": """SELECT ann_id, name, ann_id % 3 AS kind, x_min, y_min, x_max, y_max, CAST(FLOOR((x_max - x_min) / 2.0E0) AS INT) AS a, CAST(FLOOR((y_max - y_min) / 2.0E0) AS INT) AS b FROM {ann}""",
     "feat": "SELECT vec_id, label, embedding FROM {embeddings}",
     # Pixel shapes of cells, a small image with an autofluorescence channel, and a thumbnail tissue mask.
     "shape": "SELECT DISTINCT l_partkey AS cell_id, CAST(l_linenumber AS INT) AS y, CAST(l_quantity AS INT) % 6 AS x FROM {lineitem}",
     "img": """SELECT CAST(l_orderkey % 41 AS INT) AS y, CAST(l_partkey % 53 AS INT) AS x, CAST(MAX(l_quantity * 5) AS INT) AS v,
  CAST(MIN(l_discount * 2500) AS INT) AS af FROM {lineitem} WHERE l_linenumber <> 3 GROUP BY l_orderkey % 41, l_partkey % 53""",
     "mask": "SELECT DISTINCT CAST((l_orderkey * 3) % 127 AS INT) AS ty, CAST((l_partkey * 5) % 131 AS INT) AS tx FROM {lineitem} WHERE l_quantity > 8",
-    # Long per-cell metrics: one row per cell and marker, nuclear and cytoplasmic percentiles as columns.
-    "profile": """SELECT cell_id, stain AS marker, p_nuc, p_cyt, n FROM (SELECT cell_id, stain, CAST(MIN(v_aec) AS DOUBLE) AS p_nuc, CAST(MAX(v_hema) AS DOUBLE) AS p_cyt,
- COUNT(*) AS n FROM {px} GROUP BY cell_id, stain) t""",
 }
 
 

@@ -82,6 +82,7 @@ def write_cell_json(cells: DataFrame, columns: list[str], path: str) -> None:
 
 def reviewer_copy(base: DataFrame, edits: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """A reviewer's table (A16): the base under the reviewer's own rows."""
-    mine = edits.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
-    joined = base.join(mine, key, "left")
-    return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
+    mine = edits.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = base.join(mine, F.col(key) == F.col("_key"), "left")
+    own = F.col("_key").isNotNull()  # an edit to null counts too
+    return joined.withColumns({c: F.when(own, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).drop("_key", *[f"_{c}" for c in columns])

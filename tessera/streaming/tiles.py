@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def tile_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1000) -> DataFrame:
-    """Rows of tile files in arrival order, retried tiles once."""
+def tile_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1000, late: str = "1 day") -> DataFrame:
+    """Rows of tile files in arrival order, retried tiles once. A retry is looked
+    for among files written up to ``late`` before the newest, which bounds the state."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return rows.dropDuplicates(["tile_index", "cell_id"])
+    dated = rows.select("*", F.col("_metadata.file_modification_time").alias("_written")).withWatermark("_written", late)
+    return dated.dropDuplicatesWithinWatermark(["tile_index", "cell_id"]).drop("_written")
 
 
 def tile_counts(rows: DataFrame, flag: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregates, image, joins, learn, scalar, spatial, windows
+from tessera.operators import aggregates, image, joins, learn, polygons, scalar, spatial, windows
 from tessera.plans import technologies
 
 c = F.col
@@ -105,7 +105,7 @@ def test_hull_raster_and_rings(spark):
     df = spatial.hulls(pixels(spark, [(0, 0), (0, 4), (4, 4), (4, 0), (2, 2)]))
     assert df.select(aggregates.ring_area(c("ring")).alias("a")).first().a == 16.0
     assert spatial.rasterised(df).count() == 9
-    assert spatial.valid_rings(df).first().is_valid
+    assert polygons.valid_rings(df).first().is_valid
 
 
 def test_union_area_counts_overlap_once(spark):
