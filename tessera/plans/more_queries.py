@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera import functions as X
-from tessera.operators import aggregates, image, joins, scalar, spatial
+from tessera.operators import aggregates, export, image, joins, scalar, spatial
 from tessera.plans import technologies
 from tessera.plans.registry import query
 from tessera.sources import images
@@ -107,14 +107,26 @@ def _(v):
     return aggregates.tissue_share(grid, moved, 40, 1.0).select("gy", "gx", F.round("tissue_pct", 6).alias("tissue_pct"))
 
 
-@query("l2_technologies", "SELECT unnest(['cycif', 'if', 'micsss', 'singleplex', 'tma']) AS name")
+@query("l2_technologies", "SELECT t AS name, count(DISTINCT (cell_id, stain, comp)) AS n FROM px, (SELECT unnest(['cycif', 'if', 'micsss', 'singleplex', 'tma']) AS t) WHERE t IN ('cycif', 'if') OR cell_id IN "
+  "(SELECT cell_id FROM (SELECT cell_id, stain, quantile_cont(v_hema, 0.5) / 255.0 AS p5 FROM px WHERE comp = 'nuc' GROUP BY 1, 2) GROUP BY cell_id HAVING quantile_cont(p5, 0.5) > 0.30) GROUP BY t")
 def _(v):
-    return v.spark.createDataFrame([(n,) for n in sorted(technologies.TECHNOLOGIES)], "name string")
+    """Every registered technology run over all pixels: chromogenic ones drop red blood cells."""
+    out = None
+    for name in sorted(technologies.TECHNOLOGIES):
+        rows = technologies.run(technologies.Settings(sample="s", markers=("m1", "m2"), technology=name), v["px"])
+        part = rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query("l3_model_switch", "SELECT 'threshold' AS model")
+@query("l3_model_switch")
 def _(v):
-    return v.spark.createDataFrame([(n,) for n in sorted(image.MODELS)], "model string")
+    """Detections of each registered model."""
+    out = None
+    for name in sorted(image.MODELS):
+        part = image.segmented(v["img"].select("y", "x", "v"), 20, name).select(F.lit(name).alias("model"), "ty", "tx", "det_id").distinct().groupBy("model").count()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("l4_review_query", "SELECT m1_tier, count(*) AS n FROM cellinfo WHERE m1_expression GROUP BY 1")
@@ -182,3 +194,29 @@ def _(v):
 
     twice = v["cellinfo"].select("tile_index", "cell_id", "m1_expression")
     return tiles.tile_counts(twice.union(twice).dropDuplicates(["tile_index", "cell_id"]), "m1_expression")
+
+
+_MARKERS = ["CD3", "CD8", "PD1"]
+_NAMED = "SELECT *, ['CD3', 'CD8', 'PD1'][stain + 1] AS marker FROM px"
+
+
+def _export(v, digits: int):
+    px = v["px"].withColumn("marker", F.element_at(F.array(*map(F.lit, _MARKERS)), c("stain") + 1))
+    cells = v["cells"].join(aggregates.morphology(v["shape"], 0.5), "cell_id")
+    places = px.select("cell_id", "marker").distinct().join(cells, "cell_id").withColumn("y", c("y") + F.length("marker"))
+    return export.cell_metrics(cells, places, export.profiles(px, {"hema": "v_hema", "AEC": "v_aec"}), _MARKERS, digits=digits)
+
+
+@query("g1_cell_metrics_export")
+def _(v):
+    """All 8 + 67 M columns, rounded as the format is."""
+    return _export(v, 3)
+
+
+@query("g1_cell_metrics_statistics", "SELECT cell_id, marker, comp, channel, round(min(v / 255.0), 5) AS p_min, round(quantile_cont(v / 255.0, 0.5), 5) AS p_mid, count(*) > 0 AS known FROM (SELECT cell_id, marker, comp, 'AEC' AS channel, v_aec AS v FROM ("
+  + _NAMED + ") UNION ALL SELECT cell_id, marker, comp, 'hema', v_hema FROM (" + _NAMED + ") WHERE comp = 'nuc') GROUP BY 1, 2, 3, 4")
+def _(v):
+    """The export's blocks read back as rows: cells without a marker's pixels have none."""
+    wide = _export(v, 9)
+    blocks = F.array(*[F.struct(F.lit(m).alias("marker"), F.lit(comp).alias("comp"), F.lit(ch).alias("channel"), F.round(c(f"`{m} {comp} {ch} min`"), 5).alias("p_min"), F.round(c(f"`{m} {comp} {ch} p5`"), 5).alias("p_mid"), (c(f"`{m} {comp} {ch} num_peaks`") >= 1).alias("known")) for m in _MARKERS for comp, ch in export.BLOCKS])
+    return wide.select("cell_id", F.explode(blocks).alias("b")).where("b.p_min is not null").select("cell_id", "b.*")
