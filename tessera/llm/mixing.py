@@ -37,8 +37,11 @@ MAX_BROADCAST_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
-    """The size of a text: its words, 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """The size of a text: its words, 0 for null. Each word is written as one
+    letter and the letters counted, as a regexp_count would hold an array of all
+    words of a text at once."""
+    marks = F.translate(F.regexp_replace(text, f"{WORD}+", "w"), " \t\n\x0b\x0c\r", "")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, *, share: float = SHARE, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:

@@ -1,6 +1,7 @@
 """Mixing, components, URL filter and the Jaccard join against plain Python."""
 
 import random
+import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -269,3 +270,9 @@ def test_links_between_in_column_blocks(monkeypatch):
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert got[i, j] == (i != j and 2 * len(set(a) & set(b)) >= len(set(a) | set(b)))
+
+
+def test_sizes_are_counts_of_words(spark):
+    texts = [None, "", " ", "a", " a ", "a b\x0bc\x0cd\r\ne", "\x00", "\x00 \x00a", "\t\t x", "\U0001f600 y", "$1 \\ x", "w w", "\x85 \x1c\xa0", "ab " * 200_000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", mixing.words(F.col("text")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
