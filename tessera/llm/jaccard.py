@@ -297,9 +297,9 @@ def one_per_group(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD,
         from pyspark.sql import Window
 
         same = Window.partitionBy(id_col, own).orderBy(own)
-        words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[0-9A-Za-z]|[^\x00-\x7F]")), F.lit(0))
+        wordy = F.coalesce(F.col(text_col).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
         nth = f"{own}_n"
-        kept = kept.withColumn(nth, F.row_number().over(same)).where((F.col(nth) == 1) | (words == 0)).drop(nth)
+        kept = kept.withColumn(nth, F.row_number().over(same)).where((F.col(nth) == 1) | ~wordy).drop(nth)
     return kept.drop(own)
 
 
