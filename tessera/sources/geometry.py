@@ -15,6 +15,15 @@ def ring_wkb(ring: list[tuple[float, float]]) -> bytes:
     return struct.pack("<BIII", 1, 3, 1, len(ring)) + b"".join(struct.pack("<dd", x, y) for x, y in ring)
 
 
+def wkb_ring(data: bytes) -> list[tuple[float, float]]:
+    """The first ring of a polygon in WKB of either byte order."""
+    order = "<" if data[0] else ">"
+    kind, rings, points = struct.unpack_from(f"{order}3I", data, 1)
+    if kind != 3 or not rings:
+        raise ValueError("no polygon with a ring")
+    return list(struct.iter_unpack(f"{order}dd", data[13 : 13 + 16 * points]))
+
+
 def to_wkb(ring: Column) -> Column:
     """Rings of (y, x) structs as WKB."""
 

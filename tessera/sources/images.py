@@ -7,6 +7,7 @@ import contextlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -185,8 +186,8 @@ def png_text(data: bytes) -> dict[str, str]:
     return out
 
 
-def stain_matrix(path: str) -> list[list[float]]:
-    """A stain matrix from a ``.npy`` file (A10)."""
+def stain_matrix(path: str | BinaryIO) -> list[list[float]]:
+    """A stain matrix from a ``.npy`` file, by path or opened (A10)."""
     return np.load(path, allow_pickle=False).tolist()
 
 

@@ -20,12 +20,17 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.coalesce(whole, F.from_json("value", feature))).alias("f")).select("f.*")
 
 
-def read_parameters(path: str) -> dict:
-    """A YAML file's settings (A8); configuration is read once, at the driver."""
+def parse_parameters(text: str) -> dict:
+    """Settings of a YAML text (A8), none if it is empty."""
     import yaml
 
-    with open(path) as f:
-        return yaml.safe_load(f)
+    return yaml.safe_load(text) or {}
+
+
+def read_parameters(path: str) -> dict:
+    """A YAML file's settings (A8); configuration is read once, at the driver."""
+    with open(path, encoding="utf-8") as f:
+        return parse_parameters(f.read())
 
 
 def parameter(settings: dict, name: str):
@@ -65,6 +70,15 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("sample"))
 
 
+def project_samples(spark: SparkSession, path: str) -> DataFrame:
+    """A project's samples (A18): its direct folders, with or without files, by name."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(root)
+    rows = [(f.getPath().getName(), f.getPath().toString()) for f in found if f.isDirectory()]
+    return spark.createDataFrame(sorted(rows), "sample string, path string")
+
+
 def write_tiles(metrics: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Metrics by sample and tile (A12); tiles without rows write nothing."""
     metrics.write.mode("overwrite").partitionBy("sample", "tile_index").format(fmt).save(path)

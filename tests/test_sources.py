@@ -36,6 +36,7 @@ def test_npy_and_yaml(tmp_path):
     (tmp_path / "p.yaml").write_text("tiling:\n  tile: 1000\nmodel:\n  tile: 5\n  prob: 0.25\ntop: 1\n")
     settings = tables.read_parameters(str(tmp_path / "p.yaml"))
     assert [tables.parameter(settings, k) for k in ("tile", "prob", "top", "none")] == [1000, 0.25, 1, None]
+    assert tables.parse_parameters("") == {}
 
 
 @pytest.mark.parametrize("bare", [False, True])
@@ -55,6 +56,10 @@ def test_csv_and_tile_sinks(spark, tmp_path):
     tables.write_cell_json(df.withColumn("marker", F.lit("m")), ["cell_id", "v"], str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "j")).where("tile_index = 1").first().value == '{"cell_id":10,"v":0.5}'
     assert tables.list_files(spark, str(tmp_path / "c")).where("path like '%.csv'").count() == 1
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "file").write_text("")
+    assert [r.sample for r in tables.project_samples(spark, str(tmp_path)).collect()] == ["c", "empty", "j", "t"]
+    assert tables.project_samples(spark, str(tmp_path / "empty")).count() == 0
 
 
 def test_metadata(spark):
@@ -89,6 +94,9 @@ def test_polygon_sinks(spark):
     ring = box_ring(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1"))
     wkb = df.select(geometry.to_wkb(ring).alias("w")).first().w
     assert struct.unpack_from("<BIII", wkb) == (1, 3, 1, 5) and struct.unpack_from("<dd", wkb, 13) == (2.0, 1.0)
+    assert geometry.wkb_ring(wkb) == [(p["x"], p["y"]) for p in df.select(ring.alias("r")).first().r]
+    with pytest.raises(ValueError):
+        geometry.wkb_ring(struct.pack("<BIII", 1, 3, 0, 0))
     feature = json.loads(geometry.features(df.withColumn("ring", ring), "ring", ["name"]).first().value)
     assert feature["properties"] == {"name": "A"} and feature["geometry"]["coordinates"][0][2] == [6.0, 5.0]
     square = [(0.0, 0.0), (0.0, 2.0), (3.0, 2.0), (0.0, 0.0)]
