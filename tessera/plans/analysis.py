@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates, image, joins, learn, reshape, scalar, spatial, windows
-from tessera.plans.technologies import Settings
+from tessera.plans.technologies import TECHNOLOGIES, Settings
 from tessera.sources.store import saved
 
 
 @dataclass(frozen=True)
 class Analysis:
-    cells: DataFrame  # cell_id, ty, tx, cy, cx, shape of the nucleus
+    cells: DataFrame  # cell_id, ty, tx, cy, cx, shape of the nucleus, core where cores are given
     pixels: DataFrame  # cell_id, comp, y, x
     metrics: DataFrame  # cell_id, stain, comp and the intensity profile
 
@@ -46,19 +46,39 @@ def compartments(nuclei: DataFrame, grow: int, height: int, width: int) -> DataF
     return reshape.appended([df.withColumn("comp", F.lit(n)) for n, df in named.items()])
 
 
-def analyse(px: DataFrame, settings: Settings, *, stains: list[int], height: int, width: int, grow: int = 3, model: str = "threshold") -> Analysis:
-    """Segmentation, consensus, compartments, red blood cell filter, profiles."""
-    found = saved(detections(px, stains, settings.tile, model))
+def in_cores(cells: DataFrame, cores: DataFrame, tile: int) -> DataFrame:
+    """Cells with ``core``: the first one (by ``place``) that their tile's centre
+    lies strictly inside, else ``Undefined`` (C3)."""
+    centre = {c: (F.col(f"t{c}") + 0.5) * tile for c in ("y", "x")}
+    tiles = cells.select("ty", "tx").distinct().withColumns({"at": F.struct("ty", "tx"), **centre})
+    named = joins.first_box(tiles, cores, key="at", order="place", label="core")
+    return cells.join(named.select("ty", "tx", "core"), ["ty", "tx"])
+
+
+def analyse(px: DataFrame, settings: Settings, *, stains: list[int], height: int, width: int, grow: int = 3, model: str = "threshold", cores: DataFrame | None = None) -> Analysis:
+    """Segmentation, consensus, compartments, red blood cell filter, profiles, as
+    the settings' technology asks for. ``stains`` are those that show nuclei (DNA
+    channels of cycles); without matching only the first of them is segmented.
+    ``cores`` (core, place, y_min, y_max, x_min, x_max) names tiles by their centre."""
+    technology = TECHNOLOGIES[settings.technology]()
+    found = saved(detections(px, stains if technology.matched else stains[:1], settings.tile, model))
     centres = found.groupBy("stain", "det_id").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
-    kept = saved(windows.consensus(centres, tile=settings.tile, n_stains=len(stains), radius=settings.noise_px, percent=settings.consensus_percent, buffer=0.0))
+    kept = centres.select("det_id", "stain", "cy", "cx")
+    if technology.matched:
+        kept = windows.consensus(centres, tile=settings.tile, n_stains=len(stains), radius=settings.noise_px, percent=settings.consensus_percent, buffer=0.0)
+    kept = saved(kept)
     nuclei = saved(found.join(kept.select("det_id", "stain"), ["det_id", "stain"], "left_semi").select(F.col("det_id").alias("cell_id"), "y", "x"))
     pixels = saved(compartments(nuclei, grow, height, width))
     seen = pixels.join(px, ["y", "x"])
-    blood = seen.where("comp = 'nuc'").withColumn("v_hema", F.col("hema"))
-    alive = saved(aggregates.keep_nucleated(blood, settings.rbc_threshold).select("cell_id"))
-    profiles = aggregates.profile(seen.join(alive, "cell_id", "left_semi"), ["cell_id", "stain", "comp"], "aec")
+    alive = kept.select(F.col("det_id").alias("cell_id"))
+    if technology.chromogenic:
+        blood = seen.where("comp = 'nuc'").withColumn("v_hema", F.col("hema"))
+        alive = saved(aggregates.keep_nucleated(blood, settings.rbc_threshold).select("cell_id"))
+    profiles = aggregates.profile(seen.join(alive, "cell_id", "left_semi"), ["cell_id", "stain", "comp"], "aec", scale=255.0 if technology.chromogenic else 1.0)
     shapes = aggregates.morphology(nuclei.join(alive, "cell_id", "left_semi"))
     at = kept.select(F.col("det_id").alias("cell_id"), F.floor(F.col("cy") / settings.tile).cast("int").alias("ty"), F.floor(F.col("cx") / settings.tile).cast("int").alias("tx"), "cy", "cx")
+    if cores is not None:
+        at = in_cores(at, cores, settings.tile)
     return Analysis(at.join(shapes, "cell_id"), pixels, saved(scalar.round_row(profiles)))
 
 

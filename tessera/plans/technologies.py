@@ -39,18 +39,28 @@ class Technology(Protocol):
     """What a technology provides: its steps from raw tables to cell metrics."""
 
     name: str
+    chromogenic: bool  # stained with dyes: red blood cells go, intensities are shares of 255
+    matched: bool  # cells are those found again in other stains (or cycles), not one image's
 
     def steps(self, settings: Settings) -> list[Step]: ...
 
 
 @dataclass(frozen=True)
-class StepTechnology:
+class StainTechnology:
     name: str
-    make: Callable[[Settings], list[Step]]
-    chromogenic: bool = True
+    chromogenic: bool
+    matched: bool
 
     def steps(self, settings: Settings) -> list[Step]:
-        return self.make(settings)
+        from tessera.operators import aggregates
+
+        def nucleated(px: DataFrame, s: Settings) -> DataFrame:
+            return px.join(aggregates.keep_nucleated(px.where("comp = 'nuc'"), s.rbc_threshold).select("cell_id"), "cell_id", "left_semi")
+
+        def profiled(px: DataFrame, s: Settings) -> DataFrame:
+            return aggregates.profile(px, ["cell_id", "stain", "comp"], "v_aec", scale=255.0 if self.chromogenic else 1.0)
+
+        return [nucleated, profiled] if self.chromogenic else [profiled]
 
 
 TECHNOLOGIES: dict[str, Callable[[], Technology]] = {}
@@ -83,17 +93,12 @@ def run(settings: Settings, df: DataFrame) -> DataFrame:
     return df
 
 
-def _chromogenic(settings: Settings) -> list[Step]:
-    from tessera.operators import aggregates
-
-    return [lambda px, s: px.join(aggregates.keep_nucleated(px.where("comp = 'nuc'"), s.rbc_threshold).select("cell_id"), "cell_id", "left_semi"), lambda px, s: aggregates.profile(px, ["cell_id", "stain", "comp"], "v_aec")]
-
-
-def _fluorescent(settings: Settings) -> list[Step]:
-    from tessera.operators import aggregates
-
-    return [lambda px, s: aggregates.profile(px, ["cell_id", "stain", "comp"], "v_aec", scale=1.0)]
-
-
-for _name, _make, _chromo in (("micsss", _chromogenic, True), ("singleplex", _chromogenic, True), ("tma", _chromogenic, True), ("if", _fluorescent, False), ("cycif", _fluorescent, False)):
-    technology(_name)(lambda n=_name, m=_make, c=_chromo: StepTechnology(n, m, c))
+#: Cyclic fluorescence matches the DNA channels of its cycles.
+for _technology in (
+    StainTechnology("micsss", chromogenic=True, matched=True),
+    StainTechnology("tma", chromogenic=True, matched=True),
+    StainTechnology("singleplex", chromogenic=True, matched=False),
+    StainTechnology("if", chromogenic=False, matched=False),
+    StainTechnology("cycif", chromogenic=False, matched=True),
+):
+    technology(_technology.name)(lambda t=_technology: t)
