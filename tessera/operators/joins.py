@@ -150,10 +150,21 @@ def update(df: DataFrame, edits: DataFrame, key: str, column: str, order: str |
 
 
 def distances(points: DataFrame, within: float, *, key: str) -> DataFrame:
-    """Pairs of points closer than ``within`` and their distance, each pair once (C14)."""
-    pairs = band_join(points, points, within).where(F.col(key) < F.col(f"{key}_r"))
-    d = F.sqrt(F.pow(F.col("cy") - F.col("cy_r"), 2) + F.pow(F.col("cx") - F.col("cx_r"), 2))
-    return pairs.select(F.col(key).alias("src"), F.col(f"{key}_r").alias("dst"), d.alias("d")).where(F.col("d") < within)
+    """Pairs of points closer than ``within`` and their distance, each pair once (C14).
+    A point is sent to its own grid cell and those after it only, so a pair of
+    different cells meets once. The copies are never broadcast: the planner takes
+    them for as few as the points."""
+    p = points.select(F.col(key).alias("p"), F.col("cy").alias("py"), F.col("cx").alias("px"))
+    own = {"_oy": _bucket(F.col("py"), within), "_ox": _bucket(F.col("px"), within)}
+    sent = p.withColumns(own).withColumn("_by", F.explode(F.sequence("_oy", _bucket(F.col("py") + within, within))))
+    left = F.when(F.col("_by") == F.col("_oy"), F.col("_ox")).otherwise(_bucket(F.col("px") - within, within))
+    sent = sent.withColumn("_bx", F.explode(F.sequence(left, _bucket(F.col("px") + within, within))))
+    sent = sent.withColumn("_own", (F.col("_by") == F.col("_oy")) & (F.col("_bx") == F.col("_ox"))).drop("_oy", "_ox")
+    mine = points.select(F.col(key).alias("q"), F.col("cy").alias("qy"), F.col("cx").alias("qx"), _bucket(F.col("cy"), within).alias("_by"), _bucket(F.col("cx"), within).alias("_bx"))
+    d = F.sqrt(F.pow(F.col("py") - F.col("qy"), 2) + F.pow(F.col("px") - F.col("qx"), 2))
+    once = F.when(F.col("_own"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q"))
+    pairs = sent.hint("merge").join(mine, ["_by", "_bx"]).where((d < within) & once)
+    return pairs.select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"), d.alias("d"))
 
 
 def clicked(cells: DataFrame, clicks: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Physical plans: joins by key, pruned and filtered scans, no Python where none is needed."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__  # noqa: F401  (fills the registry)
@@ -44,3 +45,23 @@ def test_near_pairs_scale_with_density(spark):
     points = spark.range(20_000).selectExpr("id", "cast(id % 200 * 10 as double) as cy", "cast(id div 200 * 10 as double) as cx")
     assert joins.distances(points, 10.5, key="id").count() == 2 * 200 * 100 - 200 - 100
     assert spatial.diameter(points) == pytest.approx((1990**2 + 990**2) ** 0.5)
+
+
+def test_near_pairs_never_broadcast_their_copies(spark):
+    """The planner takes a point's copies for as few as the points, so a table below its limit filled the driver."""
+    text = plan(registry.QUERIES["c14_distances"](spark, SF))
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+
+
+def test_near_pairs_meet_once(spark):
+    """Coordinates on and beside cell borders, below 0, equal points, keys that don't follow the grid, absent values."""
+    rng = np.random.default_rng(5)
+    at = np.vstack([rng.integers(-9, 9, (150, 2)) * 1.5, rng.uniform(-12, 12, (150, 2)), rng.integers(-4, 4, (100, 2)) * 3 - 1e-12])
+    keys = rng.permutation(len(at)).tolist()
+    rows = [(k, float(y), float(x)) for k, (y, x) in zip(keys, at, strict=True)]
+    points = spark.createDataFrame([*rows, (1000, None, 1.0), (None, 0.0, 0.0)], "id long, cy double, cx double")
+    want = sorted((k, m) for k, y, x in rows for m, v, u in rows if k < m and np.sqrt((y - v) ** 2 + (x - u) ** 2) < 3)
+    got = joins.distances(points, 3.0, key="id").collect()
+    assert sorted((r.src, r.dst) for r in got) == want
+    place = {k: (y, x) for k, y, x in rows}
+    assert all(r.d == pytest.approx(np.hypot(place[r.src][0] - place[r.dst][0], place[r.src][1] - place[r.dst][1])) for r in got)
