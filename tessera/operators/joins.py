@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources import store
+
 
 def zip_markers(frames: dict[str, DataFrame], key: str = "cell_id") -> DataFrame:
     """Per-marker tables side by side on their key, columns named ``{marker}_…``."""
@@ -45,12 +47,51 @@ def support(det: DataFrame, radius: float = 5.0) -> DataFrame:
     return pairs.groupBy("det_id").agg(F.count_distinct("stain_r").alias("support"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, radius: float, *, point_id: str, target_id: str) -> DataFrame:
-    """Each point's nearest target within ``radius`` (C5); equal distances go to the smaller id."""
-    pairs = band_join(points, targets, radius)
-    d2 = F.pow(F.col("cy") - F.col("cy_r"), 2) + F.pow(F.col("cx") - F.col("cx_r"), 2)
-    best = F.min(F.struct(d2.alias("d2"), F.col(f"{target_id}_r").alias("id")))
-    return pairs.where(d2 < radius * radius).groupBy(point_id).agg(best.alias("b")).select(point_id, F.col("b.id").alias(target_id), F.col("b.d2").alias("d2"))
+def _nearest_within(points: DataFrame, targets: DataFrame, radius: float, point_id: str, target_id: str) -> DataFrame:
+    """Each point's nearest target closer than ``radius``: (point_id, target_id, d2).
+    Points, not targets, are sent to the up to four cells they reach. Nothing is
+    broadcast, as the planner takes the copies for as few as the points."""
+    size = 2 * radius
+    p = points.select(F.col(point_id).alias("p"), F.col("cy").alias("py"), F.col("cx").alias("px"))
+    t = targets.select(F.col(target_id).alias("t"), F.col("cy").alias("ty"), F.col("cx").alias("tx"))
+    for c in "yx":
+        p = p.withColumn(f"_b{c}", F.explode(F.sequence(_bucket(F.col(f"p{c}") - radius, size), _bucket(F.col(f"p{c}") + radius, size))))
+        t = t.withColumn(f"_b{c}", _bucket(F.col(f"t{c}"), size))
+    d2 = F.pow(F.col("py") - F.col("ty"), 2) + F.pow(F.col("px") - F.col("tx"), 2)
+    pairs = p.hint("merge").join(t, ["_by", "_bx"]).select("p", "t", d2.alias("d2")).where(F.col("d2") < radius * radius)
+    best = pairs.groupBy("p").agg(F.min(F.struct("d2", "t")).alias("b"))
+    return best.select(F.col("p").alias(point_id), F.col("b.t").alias(target_id), F.col("b.d2").alias("d2"))
+
+
+def _crowding(targets: DataFrame, size: float) -> float:
+    """Among how many targets of its grid cell a target lies, on average."""
+    counts = targets.where("cy is not null and cx is not null").groupBy(_bucket(F.col("cy"), size), _bucket(F.col("cx"), size)).agg(F.count("*").cast("double").alias("n"))
+    return counts.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+
+
+def nearest(points: DataFrame, targets: DataFrame, radius: float, *, point_id: str, target_id: str, few: int = 64) -> DataFrame:
+    """Each point's nearest target within ``radius`` (C5); equal distances go to the smaller id.
+
+    Where more than ``few`` targets share a cell of that size, pairs would grow with
+    the square of the density. Then targets of one place become that with the
+    smallest id, and the search starts at the radius that meets about two; points
+    that found none search twice as far, up to ``radius``. One found closer than
+    the radius searched is the nearest of all."""
+    if _crowding(targets, radius) <= few:
+        return _nearest_within(points, targets, radius, point_id, target_id)
+    points = store.saved(points.where("cy is not null and cx is not null").select(point_id, "cy", "cx"))
+    targets = store.saved(targets.where("cy is not null and cx is not null").groupBy("cy", "cx").agg(F.min(target_id).alias(target_id)))
+    r, found = radius * min(1.0, (2 / _crowding(targets, radius)) ** 0.5), []
+    while True:
+        best = _nearest_within(points, targets, r, point_id, target_id)
+        if r >= radius:
+            return reduce(DataFrame.union, [*found, best])
+        found.append(best := store.saved(best))
+        done = best.select(F.col(point_id).alias("_done"))
+        points = store.saved(points.join(done, F.col(point_id).eqNullSafe(F.col("_done")), "left_anti"))
+        if points.isEmpty():
+            return reduce(DataFrame.union, found)
+        r = min(2 * r, radius)
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, *, grid: float = 500.0, how: str = "inner") -> DataFrame:

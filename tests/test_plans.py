@@ -65,3 +65,28 @@ def test_near_pairs_meet_once(spark):
     assert sorted((r.src, r.dst) for r in got) == want
     place = {k: (y, x) for k, y, x in rows}
     assert all(r.d == pytest.approx(np.hypot(place[r.src][0] - place[r.dst][0], place[r.src][1] - place[r.dst][1])) for r in got)
+
+
+def test_nearest_never_broadcasts_copies(spark):
+    text = plan(registry.QUERIES["c5_nearest"](spark, SF))
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+
+
+def test_nearest_among_crowded_targets(spark):
+    """30,000 targets of one place, a crowd, a few far off, ties, points beyond reach: as brute force, with few rows of pairs."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 5.0, 5.0) for i in range(30_000, 60_000)] + [(i, float(y), float(x)) for i, (y, x) in enumerate(rng.integers(-40, 40, (2000, 2)) / 4)]
+    rows += [(70_000 + i, float(y), float(x)) for i, (y, x) in enumerate(rng.uniform(10, 90, (20, 2)))]
+    points = [(i, float(y), float(x)) for i, (y, x) in enumerate(rng.integers(-60, 400, (300, 2)) / 4)] + [(7, 5.0, 5.0), (400, None, 1.0)]
+    t = np.array(rows)
+    want = {}
+    for i, y, x in points:
+        if y is None:
+            continue
+        d2 = (t[:, 1] - y) ** 2 + (t[:, 2] - x) ** 2
+        if d2.min() < 100 and (d2.min(), t[d2 == d2.min(), 0].min()) < want.get(i, (1e9, 0)):
+            want[i] = (d2.min(), t[d2 == d2.min(), 0].min())
+    df = joins.nearest(spark.createDataFrame(points, "id long, cy double, cx double"), spark.createDataFrame(rows, "t long, cy double, cx double"), 10.0, point_id="id", target_id="t")
+    got = df.collect()
+    assert len(got) == len(want) and {r.id: (r.d2, r.t) for r in got} == want
+    assert 0 < len(want) < 300
