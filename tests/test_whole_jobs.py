@@ -88,3 +88,38 @@ def test_learning_uses_the_whole_range(monkeypatch):
         with pytest.raises(Stop) as stop:
             registry.QUERIES[query](None, "")
         assert {k: stop.value.args[0][k] for k in want} == want
+
+
+def test_choose_k_runs_all_fits_in_shared_passes(spark):
+    """45 values of k by 3 fits took a job a round each; inertia and silhouette as brute force and pyspark.ml have them."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    from tessera.operators import learn
+
+    rng = np.random.default_rng(1)
+    made = np.repeat(rng.uniform(-50, 50, (6, 5)), 60, axis=0) + rng.normal(0, 0.2, (360, 5)) + 1000
+    df = spark.createDataFrame([(v.tolist(),) for v in made], "f array<double>").repartition(3)
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("choose_k", "")
+    try:
+        k, rows = learn.choose_k(df, "f")
+        jobs = len(tracker.getJobIdsForGroup("choose_k"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert [r[0] for r in rows] == list(range(5, 50)) and k == 15 and max(rows, key=lambda r: r[2])[0] == 6 and jobs < 100
+    inertia, silhouette = dict((r[0], r[1:]) for r in rows)[6]
+    groups = made.reshape(6, 60, 5)
+    assert inertia == pytest.approx(((groups - groups.mean(1, keepdims=True)) ** 2).sum())
+    truth = spark.createDataFrame([(v.tolist(), i // 60) for i, v in enumerate(made)], "f array<double>, prediction int").select(array_to_vector("f").alias("features"), "prediction")
+    assert silhouette == pytest.approx(ClusteringEvaluator().evaluate(truth))
+
+
+def test_choose_k_on_odd_tables(spark):
+    from tessera.operators import learn
+
+    few = spark.createDataFrame([([1.0, 2.0],)] * 3 + [([4.0, 6.0],)], "f array<float>")
+    assert [(k, round(a, 6), round(b, 6)) for k, a, b in learn.choose_k(few, "f", range(2, 4))[1]] == [(2, 0.0, 0.75), (3, 0.0, 0.75)]
+    assert learn.choose_k(few.where("false"), "f", range(5, 7)) == (15, [(5, 0.0, 0.0), (6, 0.0, 0.0)])
+    with pytest.raises(Exception, match="one length"):
+        learn.choose_k(few.union(spark.createDataFrame([([1.0],)], few.schema)), "f", range(2, 4))
