@@ -20,6 +20,13 @@ segments of buckets with a pass each. A pass writes rows' keys and two packed
 columns of what its segment knows, never the texts, and is written before the
 next begins.
 
+Where Hadoop has no native library it starts a process or more for each file that
+it writes, and until such a process has loaded its program it counts with the whole
+memory of its JVM once again. So the model is persisted on the executors' disks by
+Spark, without files of Hadoop, and is computed again where an executor is lost;
+only a model of several segments is written to the shared folder, where a segment
+is read without the others. The query's rows go to few files.
+
 Tokens: A-Z lower-cased runs without space and 0x09 to 0x0D, then one end token.
 Tokens and n-grams are identified by 64-bit hashes. Edge cases: a null or empty
 text is the end token alone; a null doc_id counts as empty text for the fold and
@@ -36,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +57,10 @@ PROBES, BITS_PER_ENTRY, LEVEL_BASE = 5, 9, 2.0
 #: Words' worth of the unigram distribution added to a history's followers; held-out documents score best near it.
 MU = 200.0
 SEGMENT_BYTES = 160 << 20
+#: Buckets for a task that builds filters; bytes of a model that are fetched at a time.
+TASK_BUCKETS, FETCH_BYTES = 4, 8 << 20
+#: The query's rows go to a file for about so many bytes of input.
+FILE_BYTES = 64 << 20
 _END, _START = np.uint64(0x51ED270B9F3F4E21), np.uint64(0x2545F4914F6CDD1D)
 _LEVEL, _STEP = 0xA0761D6478BD642F, np.uint64(0xE7037ED1A0B428DB)
 _FLUSH, _CHUNK = 2_000_000, 300_000
@@ -197,20 +209,27 @@ def _build(bits: int):
     return run
 
 
+def _planned_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def bucket_bits(df: DataFrame) -> int:
     """How many bits of a hash tell its bucket, from the planner's size of ``df``."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(MOST_BITS, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, (_planned_bytes(df) // BUCKET_BYTES).bit_length()))
 
 
 def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """The model of a corpus: a row for each bucket (of 2 ** ``of``) with its filter
-    bits and its unigrams' sorted hashes and exact counts, in the shared folder."""
+    bits and its unigrams' sorted hashes and exact counts. It is computed when first
+    read and then stays on the executors' disks until it is unpersisted."""
     texts = texts.select(text_col)
     bits = bucket_bits(texts)
     partial = texts.mapInArrow(_count(bits), "bucket int, kind tinyint, blob binary")
-    dealt = partial.repartition("bucket").sortWithinPartitions("bucket")
-    return cut(dealt.mapInArrow(_build(bits), "bucket int, of int, bits binary, hashes binary, counts binary"), "lm")
+    spark = texts.sparkSession
+    # Cached plans keep the number they begin with, so a small corpus gets no more tasks than it has use for.
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, (1 << bits) // TASK_BUCKETS))
+    dealt = partial.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_build(bits), "bucket int, of int, bits binary, hashes binary, counts binary").persist(StorageLevel.DISK_ONLY)
 
 
 class Segment:
@@ -224,7 +243,11 @@ class Segment:
             hashes.append(r["hashes"])
             counts.append(_counts(r["hashes"], r["counts"]))
         numbers = np.concatenate(counts) if counts else np.zeros(0, "<u4")
-        self.__setstate__((low, high, of, sizes, b"".join(parts), b"".join(hashes), numbers.dtype.str, numbers.tobytes()))
+        counts.clear()
+        numbers = numbers.dtype.str, numbers.tobytes()
+        hashes = b"".join(hashes)
+        data = b"".join(parts)
+        self.__setstate__((low, high, of, sizes, data, hashes, *numbers))
 
     def __getstate__(self) -> tuple:
         return self._state
@@ -276,7 +299,8 @@ class Segment:
 
 def segments(model: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Iterator[tuple[bool, Segment]]:
     """The model in segments of at most ``segment_bytes`` (or one bucket), each with
-    whether it is the whole; every segment is sized before it is fetched."""
+    whether it is the whole; every segment is sized before it is fetched. A model of
+    several that is persisted is written once and unpersisted."""
     size = F.octet_length("bits") + F.octet_length("hashes") + F.octet_length("counts")
     listed = model.select("bucket", "of", size.cast("long").alias("b")).collect()  # at most 2**MOST_BITS rows
     sizes, of = {r.bucket: r.b for r in listed}, listed[0].of if listed else 0
@@ -287,9 +311,16 @@ def segments(model: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Iterator[t
             bounds.append((low, b))
             low, held = b, 0
         held += sizes.get(b, 0)
+    if bounds and model.is_cached:
+        # Written, it needs neither its persisted copy nor the shuffle that this holds on to.
+        persisted, model = model, cut(model, "lm")
+        persisted.unpersist()
     for low, high in (every := [*bounds, (low, 1 << of)]):
-        part = model.where((F.col("bucket") >= low) & (F.col("bucket") < high))
-        yield len(every) == 1, Segment(low, high, of, sorted(part.toLocalIterator(), key=lambda r: r["bucket"]))
+        held = sum(b for bucket, b in sizes.items() if low <= bucket < high)
+        part = model.where((F.col("bucket") >= low) & (F.col("bucket") < high)).coalesce(1 + held // FETCH_BYTES)
+        rows = sorted(part.toLocalIterator(), key=lambda r: r["bucket"], reverse=True)
+        # Rows are dropped as they are read, so that no part of the model is held three times.
+        yield len(every) == 1, Segment(low, high, of, (rows.pop() for _ in range(len(rows))))
 
 
 def _chunks(texts: pa.Array) -> Iterator[list[np.ndarray]]:
@@ -352,7 +383,8 @@ def _score(shared, n_train: int, vocabulary: int, mu: float):
     """An Arrow UDF from texts to results, for a model of one segment."""
 
     def score(texts: pa.Array) -> pa.Array:
-        return _results([(*_known(shared.value, held), _heads(held)) for held in _chunks(texts)], n_train, vocabulary, mu)
+        done = [_results([(*_known(shared.value, held), _heads(held))], n_train, vocabulary, mu) for held in _chunks(texts)]
+        return pa.concat_arrays(done) if done else _results([], n_train, vocabulary, mu)
 
     return F.arrow_udf(score, _RESULT)
 
@@ -430,4 +462,8 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
     model = train(docs.where("not held_out"))
-    return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    try:
+        scored = score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    finally:
+        model.unpersist()
+    return scored.repartition(max(spark.sparkContext.defaultParallelism, _planned_bytes(docs) // FILE_BYTES))

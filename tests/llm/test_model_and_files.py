@@ -4,10 +4,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +99,51 @@ def test_scores_without_training_or_rows(spark):
     assert lmscore.score(table.limit(0), lmscore.train(table)).count() == 0
 
 
+def test_model_of_one_segment_writes_no_files_and_rows_go_to_few(spark, tmp_path):
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before, size = set(root.iterdir()), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert spark.read.parquet(f"{SF}/documents.parquet").rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+        lmscore.op5_lmscore(spark, SF).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert set(root.iterdir()) == before
+    assert len(list((tmp_path / "out").glob("part-*"))) <= spark.sparkContext.defaultParallelism
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
+    assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_model_of_several_segments_is_written_once_and_not_kept_twice(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    model = lmscore.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    before = set(root.glob("lm-*"))
+    found = list(lmscore.segments(model, 1 << 16))
+    assert len(found) > 1 and len(set(root.glob("lm-*")) - before) == 1 and not model.is_cached
+    _, whole = next(lmscore.segments(model))
+    assert b"".join(s.data.tobytes() for _, s in found) == whole.data.tobytes()
+
+
+def test_scoring_holds_one_run_of_texts_at_a_time(monkeypatch):
+    monkeypatch.setattr(lmscore, "_CHUNK", 1000)
+    monkeypatch.setattr(lmscore.F, "arrow_udf", lambda f, _: f)
+    score = lmscore._score(SimpleNamespace(value=lmscore.Segment(0, 16, 4, [])), 10, 5, lmscore.MU)
+
+    def peak(n):
+        texts = pa.array([" ".join(f"w{i * j % 97}" for j in range(100)) for i in range(n)])
+        tracemalloc.start()
+        got = score(texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == n and got.field("n_tokens").to_pylist() == [101] * n
+        return most
+
+    assert len(score(pa.array([], pa.string()))) == 0
+    # Tokens of 2000 texts take 9 bytes each where they are kept until the last text: 1.8 MB.
+    assert peak(2000) < peak(20) + 1_000_000
+
+
 def test_held_out_texts_score_above_the_base(spark):
     row = lmscore.op5_lmscore(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert row[0] > row[1]
